@@ -21,22 +21,22 @@ QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
 
 _FOUND_SQL = r"""
 WITH pg AS (
-  SELECT page_id, version, status, internal_links, try_cast(replace(trim(synced_at), ' ', 'T') AS TIMESTAMPTZ) AS at,
+  SELECT page_id, version, status, internal_links, try_cast(replace(trim(synced_at), ' ', 'T') AS TIMESTAMPTZ) AS tm,
          trim(page_id, E' \t\n\r') AS raw
   FROM pages),
 st AS (
   SELECT CASE WHEN ltrim(raw, '0') = '' THEN '0' ELSE ltrim(raw, '0') END AS id,
          arg_max(coalesce(lower(trim(status)) IN ('trashed', 'deleted'), false), (coalesce(version, -1), coalesce(lower(trim(status)) IN ('trashed', 'deleted'), false))) AS removed,
-         min(at) AS first_synced
+         min(tm) AS first_synced
   FROM pg WHERE regexp_full_match(raw, '[0-9]+') GROUP BY 1),
 links AS (
-  SELECT coalesce(page_id, '') || ':' || coalesce(CAST(version AS VARCHAR), '') AS k, at,
+  SELECT coalesce(page_id, '') || ':' || coalesce(CAST(version AS VARCHAR), '') AS k, tm,
          regexp_replace(l, '^\s+|\s+$', '', 'g') AS l
-  FROM (SELECT page_id, version, at, unnest(internal_links) AS l FROM pg)),
-full_links AS (SELECT k, at, CASE WHEN starts_with(l, '/') THEN 'https://wiki.quillmere.example' || l ELSE l END AS l FROM links),
+  FROM (SELECT page_id, version, tm, unnest(internal_links) AS l FROM pg)),
+full_links AS (SELECT k, tm, CASE WHEN starts_with(l, '/') THEN 'https://wiki.quillmere.example' || l ELSE l END AS l FROM links),
 refs AS (
   SELECT 'pages' AS ref_table, 'internal_links' AS ref_field, k AS ref_key,
-         coalesce(nullif(regexp_extract(l, 'pageId=([0-9]+)', 1), ''), nullif(regexp_extract(l, '/pages/([0-9]+)', 1), '')) AS t, at AS ref_time
+         coalesce(nullif(regexp_extract(l, 'pageId=([0-9]+)', 1), ''), nullif(regexp_extract(l, '/pages/([0-9]+)', 1), '')) AS t, tm AS ref_time
   FROM full_links WHERE starts_with(l, 'https://wiki.quillmere.example')
   UNION ALL SELECT 'chunks', 'linked_page_ids', coalesce(id, ''), unnest(linked_page_ids), indexed_at FROM chunks
   UNION ALL SELECT 'chunks', 'page_id', coalesce(id, ''), page_id, indexed_at FROM chunks
