@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import leakage, reading_level, split
+from lodestack.llm import knn, leakage, mixing, qa_pairs, reading_level, split
 from lodestack.runtime import table
 
 
@@ -23,6 +23,23 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_items(split.wiki_items(pages, chunks)).distinct()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qa_pairs.broken_pairs(table(spark, sf_dir, "feedback"))
+
+
+def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feedback = table(spark, sf_dir, "feedback")
+    return qa_pairs.defect_profile(feedback, qa_pairs.broken_pairs(feedback))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.neighbour_pairs(knn.nearest_vectors(table(spark, sf_dir, "chunks")))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest_vectors(table(spark, sf_dir, "chunks")).withColumn("cosine", F.round("cosine", 4))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(*_tables(spark, sf_dir, "documents", "eval_items"))
 
@@ -31,6 +48,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p8_found(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(*_tables(spark, sf_dir, "documents", "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(*_tables(spark, sf_dir, "documents", "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.reading_levels(*_tables(spark, sf_dir, "documents", "level_samples")).select("doc_id", "reading_level")
 
@@ -41,10 +66,11 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
+    "p3_found": p3_found, "p3_profile": p3_profile,
+    "p4_found": p4_found, "p4_nearest": p4_nearest,
     "p8_found": p8_found, "p8_report": p8_report,
+    "p9_mix": p9_mix, "p9_report": p9_report,
     "p10_found": p10_found, "p10_profile": p10_profile,
 }
 
-_SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
-
 SQL: dict[str, str] = {}
