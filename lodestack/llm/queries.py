@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import knn, leakage, mixing, qa_pairs, reading_level, split
+from lodestack.llm import knn, leakage, mixing, near_duplicates, qa_pairs, reading_level, split
 from lodestack.runtime import table
 
 
@@ -40,6 +40,19 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest_vectors(table(spark, sf_dir, "chunks")).withColumn("cosine", F.round("cosine", 4))
 
 
+def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages = near_duplicates.current_pages(table(spark, sf_dir, "pages"))
+    return near_duplicates.near_duplicates(pages, "page_id", "title", "content_text", near_duplicates.PAGE_WIDTH, near_duplicates.PAGE_SIMILARITY)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.pairs_of(*_page_links(spark, sf_dir)).select(F.col("key_a").alias("page_id_a"), F.col("key_b").alias("page_id_b"))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups_of(*_page_links(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(*_tables(spark, sf_dir, "documents", "eval_items"))
 
@@ -68,6 +81,7 @@ QUERIES = {
     "p1_found": p1_found, "p1_pieces": p1_pieces,
     "p3_found": p3_found, "p3_profile": p3_profile,
     "p4_found": p4_found, "p4_nearest": p4_nearest,
+    "p5_found": p5_found, "p5_groups": p5_groups,
     "p8_found": p8_found, "p8_report": p8_report,
     "p9_mix": p9_mix, "p9_report": p9_report,
     "p10_found": p10_found, "p10_profile": p10_profile,
