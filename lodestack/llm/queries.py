@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import knn, leakage, mixing, near_duplicates, qa_pairs, reading_level, split
+from lodestack.llm import knn, leakage, markup, mixing, near_duplicates, pii, qa_pairs, reading_level, split
 from lodestack.runtime import table
 
 
@@ -53,6 +53,26 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups_of(*_page_links(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, feedback, names = _tables(spark, sf_dir, "pages", "feedback", "name_parts")
+    return pii.types_found(pii.redact_fields(pii.wiki_fields(pages, feedback), names, with_text=False))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, feedback, names = _tables(spark, sf_dir, "pages", "feedback", "name_parts")
+    return pii.redact_fields(pii.wiki_fields(pages, feedback), names).distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, chunks = _tables(spark, sf_dir, "pages", "chunks")
+    return markup.notations_found(markup.clean_markup(markup.wiki_texts(pages, chunks), with_text=False))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, chunks = _tables(spark, sf_dir, "pages", "chunks")
+    return markup.clean_markup(markup.wiki_texts(pages, chunks)).distinct()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked_items(*_tables(spark, sf_dir, "documents", "eval_items"))
 
@@ -82,6 +102,8 @@ QUERIES = {
     "p3_found": p3_found, "p3_profile": p3_profile,
     "p4_found": p4_found, "p4_nearest": p4_nearest,
     "p5_found": p5_found, "p5_groups": p5_groups,
+    "p6_found": p6_found, "p6_redacted": p6_redacted,
+    "p7_found": p7_found, "p7_clean": p7_clean,
     "p8_found": p8_found, "p8_report": p8_report,
     "p9_mix": p9_mix, "p9_report": p9_report,
     "p10_found": p10_found, "p10_profile": p10_profile,
