@@ -3,8 +3,8 @@
 A record is the set of its runs of ``width`` words. All sets are ordered by one global order, rarest runs first, so
 two similar sets must share runs in short prefixes. A record whose prefix promises many candidates gets a longer
 prefix and demands more shared runs before a pair is verified. Runs fall into ``GROUPS`` groups: a pair that must
-share ``GROUPS * (k - 1) + 1`` runs has a group in which it shares ``k``, so matches are counted inside the groups,
-and only pairs that reach ``k`` somewhere leave them.
+share ``GROUPS * (k - 1) + 1`` runs has a group in which it shares ``k``, so matches are counted inside the groups.
+Groups report pairs from ``k - 1`` matches on, and the reports of all groups bound a pair's shared runs from above.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ GROUPS = 16
 #: Counters of the frequency sketch that orders the runs; its size bounds what is broadcast.
 SKETCH_BITS = 20
 #: Estimated prefix matches above which a record takes the next longer prefix.
-COSTS = (16.0, 2_000.0, 40_000.0)
+COSTS = (2.0, 200.0, 10_000.0)
 #: Copies up to this number are written out as pairs; more copies are linked to their least id.
 COPIES = 64
 #: Pairs that a group counts at a time.
@@ -47,6 +47,11 @@ def extension(k: np.ndarray | int) -> np.ndarray | int:
     return GROUPS * (k - 1) + 1
 
 
+def reported(k):
+    """Matches from which on a group reports a pair."""
+    return np.maximum(1, k - 1)
+
+
 def record_sets(records: DataFrame, key: str, title: str | None, text: str, width: int) -> DataFrame:
     """``key, same, runs``: the sorted distinct runs of every record, and a hash of them all; without runs, no row."""
 
@@ -91,6 +96,11 @@ def prefix_of(runs: np.ndarray, sketch: np.ndarray, s: Fraction) -> tuple[np.nda
     return runs[order[: min(n, base + extension(k))]], k
 
 
+def _place_type(n: int) -> type:
+    """Places within a set of ``n`` runs take two bytes where they fit."""
+    return np.uint16 if n < 1 << 16 else np.int32
+
+
 def _postings(sent, s: Fraction):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
@@ -103,7 +113,8 @@ def _postings(sent, s: Fraction):
                 seen.add(same)
                 r = runs.values.to_numpy()
                 prefix, k = prefix_of(r, sketch, s)
-                n, place = len(r), np.arange(len(prefix), dtype=np.int32)
+                n = len(r)
+                place = np.arange(len(prefix), dtype=_place_type(n))
                 group = (prefix >> 33) & (GROUPS - 1)
                 band = int(np.log2(n))
                 for g in range(GROUPS):
@@ -121,14 +132,14 @@ def _postings(sent, s: Fraction):
 
 
 def _count_group(table: pa.Table, s: Fraction) -> pa.Table:
-    """Pairs of a group and band that share at least ``k`` prefix runs there."""
+    """Pairs of a group and band that share enough prefix runs there to be reported."""
     out = {"a": [], "b": [], "hits": [], "k": []}
     band = table.column("band")[0].as_py()
     same = table.column("same").to_numpy()
     _, first = np.unique(same, return_index=True)  # a class may come from several tasks
     same, size, k = same[first], table.column("n").to_numpy()[first].astype(np.int64), table.column("k").to_numpy()[first].astype(np.int64)
     toks = [np.frombuffer(x, np.uint32) for x in table.column("toks").take(pa.array(first)).to_pylist()]
-    places = [np.frombuffer(x, np.int32) for x in table.column("places").take(pa.array(first)).to_pylist()]
+    places = [np.frombuffer(x, _place_type(n)) for x, n in zip(table.column("places").take(pa.array(first)).to_pylist(), size, strict=True)]
     doc = np.repeat(np.arange(len(same)), [len(x) for x in toks])
     tok, place = np.concatenate(toks).astype(np.int64), np.concatenate(places).astype(np.int64)
     n, ext = size[doc], extension(k)[doc]
@@ -161,7 +172,7 @@ def _count_group(table: pa.Table, s: Fraction) -> pa.Table:
         pair, hits = np.unique(doc[i][good] * len(same) + doc[j][good], return_counts=True)
         x, y = pair // len(same), pair % len(same)
         kk = np.minimum(k[x], k[y])
-        enough = hits >= kk
+        enough = hits >= reported(kk)
         x, y, kk, hits = x[enough], y[enough], kk[enough], hits[enough]
         out["a"].append(np.minimum(same[x], same[y]))
         out["b"].append(np.maximum(same[x], same[y]))
@@ -177,12 +188,13 @@ def similar_classes(sets: DataFrame, similarity: Fraction) -> DataFrame:
     sent = spark.sparkContext.broadcast(frequency_sketch(sets))
     postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity), "grp int, band int, same long, n int, k int, toks binary, places binary")
     counted = postings.groupBy("grp", "band").applyInArrow(lambda t: _count_group(t.combine_chunks(), similarity), "a long, b long, hits long, k long")
-    # groups that did not report hold at most k - 1 of the shared runs each
     sums = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.count("*").alias("groups"), F.max("k").alias("k"))
-    pairs = sums.where(F.col("hits") + (GROUPS - F.col("groups")) * (F.col("k") - 1) >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")
+    silent = F.greatest(F.lit(1), F.col("k") - 1) - 1  # most matches of a group that did not report
+    pairs = sums.where(F.col("hits") + (GROUPS - F.col("groups")) * silent >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")
     q = similarity / (1 + similarity)
-    runs = sets.select("same", "runs")
-    left = pairs.join(runs.select(F.col("same").alias("a"), F.col("runs").alias("ra")), "a").dropDuplicates(["a", "b"])
+    # one row per class, placed by class once for both joins
+    runs = sets.groupBy("same").agg(F.first("runs").alias("runs"))
+    left = pairs.join(runs.select(F.col("same").alias("a"), F.col("runs").alias("ra")), "a")
     both = left.join(runs.select(F.col("same").alias("b"), F.col("runs").alias("rb")), "b")
     shared = F.size(F.array_intersect("ra", "rb"))
     return both.where(shared * q.denominator >= (F.size("ra") + F.size("rb")) * q.numerator).select("a", "b").distinct()
