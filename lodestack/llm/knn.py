@@ -1,9 +1,10 @@
 """Most similar vectors for every vector: learned partitions.
 
 A bounded sample is fitted: its neighbour graph is partitioned into balanced parts, and a small linear classifier
-learns to tell a vector's part. Every vector is indexed in its most probable part and, as a query, routed to its
-several most probable parts; there the candidates are reranked by exact cosine. Exact copies of a vector are
-collapsed to one before the search and joined again behind it.
+learns to tell a vector's part. Every vector is routed to its several most probable parts, where it is both indexed
+and a query; there the candidates are reranked by exact cosine. Two vectors are compared if their parts overlap, so
+a vector near a border is found from either side. Exact copies of a vector are collapsed to one before the search
+and joined again behind it.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ DIM, TOP = 384, 5
 #: Bound of the vectors the partitions and the classifier are fitted on.
 MAX_SAMPLE = 12_000
 #: Vectors a part should hold; parts are added as the collection grows.
-PART_ROWS = 2_000
+PART_ROWS = 5_000
 MAX_PARTS = 2_048
-#: Parts a query goes to at most, and the probability that they should cover.
-MAX_PROBES, COVER = 3, 0.98
+#: Parts a vector goes to: at least and at most, and the probability they should cover.
+MIN_PROBES, MAX_PROBES, COVER = 2, 3, 0.6
 #: Index rows that one task searches at a time; larger parts are searched in blocks of this size.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 40_000
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -131,7 +132,9 @@ class Router:
         order = np.argsort(-ptop, axis=1, kind="stable")
         top, ptop = np.take_along_axis(top, order, axis=1), np.take_along_axis(ptop, order, axis=1)
         before = np.cumsum(ptop, axis=1) - ptop
-        return top, before < cover
+        visit = before < cover
+        visit[:, :MIN_PROBES] = True
+        return top, visit
 
 
 def fit_router(x: np.ndarray, n_rows: int, part_rows: int = PART_ROWS, seed: int = 11) -> Router:
@@ -175,9 +178,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame
 def _splits(router: Router, x: np.ndarray, n: int, probes: int, cover: float) -> tuple[np.ndarray, np.ndarray]:
     """Blocks per part of index rows and of queries, from the sample's shares; 1 but for parts far above the usual size."""
     top, visit = router.route(x, probes, cover)
-    own = np.bincount(top[:, 0], minlength=len(router.b)) / len(x) * n
-    asked = np.bincount(top[visit], minlength=len(router.b)) / len(x) * n
-    return np.maximum(1, np.ceil(own / BLOCK_ROWS)).astype(int), np.maximum(1, np.ceil(asked / (3 * BLOCK_ROWS))).astype(int)
+    blocks = np.maximum(1, np.ceil(np.bincount(top[visit], minlength=len(router.b)) / len(x) * n / BLOCK_ROWS)).astype(int)
+    return blocks, blocks
 
 
 def _search(same: np.ndarray, own: np.ndarray, ask: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,16 +192,18 @@ def _search(same: np.ndarray, own: np.ndarray, ask: np.ndarray, vec: np.ndarray,
     bv = vec[base]
     place = np.full(len(same), -1)
     place[base] = np.arange(len(base))
-    for c in range(0, len(queries), 1024):
-        q = queries[c : c + 1024]
+    for c in range(0, len(queries), 512):
+        q = queries[c : c + 512]
         s = vec[q] @ bv.T
         me = place[q]
         s[np.flatnonzero(me >= 0), me[me >= 0]] = -2
         m = min(k, s.shape[1])
         near = np.argpartition(-s, m - 1, axis=1)[:, :m]
         sn = np.take_along_axis(s, near, axis=1)
-        best_s[c : c + 1024, :m] = sn
-        best_i[c : c + 1024, :m] = np.where(sn > -2, base[near], -1)
+        # the same pair met in two parts has the same score: products of the two rows alone, summed in one order
+        exact = np.einsum("ij,ikj->ik", vec[q].astype(np.float64), bv[near].astype(np.float64))
+        best_s[c : c + 512, :m] = np.where(sn > -2, np.round(exact, 6), -2)
+        best_i[c : c + 512, :m] = np.where(sn > -2, base[near], -1)
     return queries, best_i, best_s
 
 
@@ -245,14 +249,14 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
             at.append(r[plain])
             part.append(top[r, c][plain])
             block.append(np.zeros(plain.sum(), np.int64))
-            own.append(c[plain] == 0)
+            own.append(np.ones(plain.sum(), bool))
             ask.append(np.ones(plain.sum(), bool))
             for i, j in zip(r[~plain], c[~plain], strict=True):  # a large part: tiles of index blocks and query blocks
                 p = top[i, j]
                 mine, my_ask = int(h[i] % splits[p]), int((h[i] >> 20) % asks[p])
                 for s in range(splits[p]):
                     for a in range(asks[p]):
-                        is_own, is_ask = j == 0 and s == mine, a == my_ask
+                        is_own, is_ask = s == mine, a == my_ask
                         if is_own or is_ask:
                             for col, val in ((at, i), (part, p), (block, s * asks[p] + a), (own, is_own), (ask, is_ask)):
                                 col.append(np.array([val]))
