@@ -34,7 +34,8 @@ def link_target(address: Column, base: str = WIKI_BASE) -> Column:
 
 def sync_time(c: Column) -> Column:
     """Timestamp of a text in any of the notations of ``synced_at``: UTC unless it states an offset."""
-    return F.try_to_timestamp(F.regexp_replace(F.trim(c), r"^(\d{4}-\d{2}-\d{2}) ", "$1T"))
+    t = F.regexp_replace(F.trim(c), r"^(\d{4}-\d{2}-\d{2}) ", "$1T")
+    return F.try_to_timestamp(F.when(t.rlike(r"T.*(?:Z|[+-]\d{2}:?\d{2})$"), t).otherwise(F.concat(t, F.when(t.contains("T"), F.lit("Z")).otherwise(F.lit("T00:00:00Z")))))
 
 
 def page_states(pages: DataFrame) -> DataFrame:

@@ -172,10 +172,10 @@ def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
 def mmr(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int, lam: float = 0.7) -> DataFrame:
     """Maximal marginal relevance: greedily ``lam * relevance - (1 - lam) * highest similarity to the chosen ones``.
 
-    ``candidates``: hits, a bounded list per query; ``queries`` and ``vectors``: ``id, vec``. Queries of at most
-    ``limit`` candidates keep their order. The result keeps the candidates' scores, in order of selection.
+    ``candidates``: hits, a bounded list per query; ``queries`` and ``vectors``: ``id, vec``; a null vector or one of
+    another length than the query's counts as all zero. Queries of at most ``limit`` candidates keep their order. The result keeps the candidates' scores, in order of selection.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("qvec"))
+    q = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("qvec")).dropDuplicates(["query_id"])
     v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["id"])
     rows = candidates.select("query_id", "id", "rank", "score").join(v, "id").join(q, "query_id")
     types = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
@@ -183,9 +183,10 @@ def mmr(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, limit: in
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank"]).reset_index(drop=True)
         if len(pdf) > limit:
-            x = np.array(pdf["vec"].tolist(), dtype=float)
+            y = np.nan_to_num(np.array(pdf["qvec"][0] if pdf["qvec"][0] is not None else [], dtype=float))
+            fits = lambda v: v is not None and len(v) == len(y)
+            x = np.nan_to_num(np.array([v if fits(v) else np.zeros(len(y)) for v in pdf["vec"]], dtype=float).reshape(len(pdf), len(y)))
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            y = np.array(pdf["qvec"][0], dtype=float)
             rel = x @ (y / max(np.linalg.norm(y), 1e-300))
             near, left, chosen = np.zeros(len(x)), list(range(len(x))), []
             while left and len(chosen) < limit:
