@@ -329,7 +329,7 @@ def _convert(s: str, m: Mark) -> str:
     """What stays of a mark: structure in plain words, bars and dashes; code and formulas as they are."""
     k = (m.notation, m.kind)
     if k == ("html", "entity"):
-        return html.unescape(s).replace(" ", " ")
+        return html.unescape(s).replace("\u00a0", " ")
     if m.notation == "html":
         if m.kind == "comment":
             return ""

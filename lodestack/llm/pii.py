@@ -29,7 +29,7 @@ MAX_SPAN = 160
 #: Bound of the name dictionary that is sent to the executors.
 MAX_NAMES = 500_000
 
-_S = r"[ \t  ]"
+_S = r"[ \t\u00a0\u202f]"
 #: Names of identity numbers, of calls, and of numbers that identify things.
 _ID_NAMES = r"ssn|social[ -]security(?:[ -](?:number|no|nr))?|passport|reisepass\w*|passeport|pasaporte|national[ -]id(?:entity|entification)?|identity[ -](?:card|number)|id[ -]card|personalausweis\w*|personnummer|tax[ -](?:id|number|no|payer)\w*|taxpayer|steuer[- ]?(?:id|nr|nummer|identifikationsnummer)|num[ée]ro fiscal|s[ée]curit[ée] sociale|dni|nif|nie|nss|tin|itin|insee|driver'?s licen[cs]e"
 _CALLS = r"call|phone|tel|telephone|telefon|dial|hotline|fax|mobile|mobil|cell|ring|number for|reach|text|sms|whatsapp|anruf\w*|appel\w*|t[ée]l[ée]phone|llam\w*|answers"
@@ -41,7 +41,7 @@ _AT = rf"{_S}*(?:\[{_S}*at{_S}*\]|\({_S}*at{_S}*\)|\{{{_S}*at{_S}*\}}|<at>|＠){
 _DOT = rf"{_S}*(?:\[{_S}*(?:dot|punkt|point|punto)?\.?{_S}*\]|\({_S}*(?:dot|punkt|point|punto){_S}*\)|\{{dot\}}){_S}*|{_S}+dot{_S}+"
 _HIDDEN = re.compile(rf"[A-Za-z0-9._%+\-]+(?:{_AT}|@)[A-Za-z0-9\-]+(?:(?:{_DOT}|\.)[A-Za-z0-9\-]+)+", re.I)
 _HIDDEN_HINT = re.compile(r"[\[({<]\s*(?:at|dot)\s*[\])}>]|\sdot\s|＠", re.I)
-_NUMBER = re.compile(r"(?<![\w@])(?:\+|\(\+?)?[A-Za-z]{0,2}\d(?:[\d .()/ ‑-]*\d)?(?:\s?(?:ext|x|extension|durchwahl|poste)\.?\s?\d{1,5})?(?![\w@])", re.I)
+_NUMBER = re.compile(r"(?<![\w@])(?:\+|\(\+?)?[A-Za-z]{0,2}\d(?:[\d .()/\u00a0\u2011-]*\d)?(?:\s?(?:ext|x|extension|durchwahl|poste)\.?\s?\d{1,5})?(?![\w@])", re.I)
 _STREET_EN = r"street|st|avenue|ave|road|rd|lane|ln|drive|dr|court|ct|place|pl|way|boulevard|blvd|square|sq|terrace|close|crescent|highway|hwy|parkway|pkwy|row|walk|mews|gardens|grove|hill|park"
 _CITY = rf"(?:,?{_S}*\n?{_S}*(?:[A-Z]{{1,2}}-)?(?:\d{{4,5}}{_S}+)?[^\W\d_]{{3,}}(?:[ -][A-Z][^\W\d_]+)?(?:,?{_S}+(?:[A-Z]{{2}}{_S}+)?\d{{4,5}}(?:-\d{{4}})?)?)"
 _FLAT = rf"(?:flat|apt|apartment|unit|suite|room|floor)\.?{_S}*\d+[a-z]?"
@@ -109,7 +109,7 @@ def _number_features(text: str, a: int, b: int) -> list[str]:
     body = re.split(r"\s?(?:ext|x|extension|durchwahl|poste)\.?\s?", s, flags=re.I)[0] if re.search(r"(?:ext|x|poste|durchwahl)", s, re.I) else s
     groups = re.findall(r"\d+", body)
     digits = sum(map(len, groups))
-    shape = re.sub(r"[^\W\d_]", "L", re.sub(r"\d", "9", re.sub(r"[\s ]", " ", body)))
+    shape = re.sub(r"[^\W\d_]", "L", re.sub(r"\d", "9", re.sub(r"\s", " ", body)))
     lens = "-".join(str(len(g)) for g in groups)
     start = "plus" if re.match(r"\(?\+", s) else "00" if s.startswith("00") else "letter" if s[0].isalpha() else "0" if s[0] == "0" else "paren" if s[0] == "(" else "digit"
     f = [f"start={start}", f"digits={min(16, digits)}", f"groups={lens}", f"shape={shape if len(shape) < 24 else 'long'}", f"parts={min(6, len(groups))}"]
