@@ -87,7 +87,6 @@ def answer_events(answers: DataFrame, sources: DataFrame) -> DataFrame:
     listed = sources.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("source_no", "title", "url"))), lambda s: F.struct(s["title"].alias("title"), s["url"].alias("url"))).alias("data"))
     rows = answers.join(listed, "query_id", "left")
     none = F.expr("CAST(array() AS array<struct<title:string,url:string>>)")
-    tokens = F.filter(F.split(F.regexp_replace(F.coalesce("answer", F.lit("")), r"(\s+)", "$1"), ""), lambda t: t != "")
     tokens = F.regexp_extract_all(F.coalesce("answer", F.lit("")), F.lit(r"(\S+\s*|\s+)"), F.lit(1))
     head = F.to_json(F.struct(F.lit("sources").alias("type"), F.coalesce("data", none).alias("data")))
     body = F.transform(F.filter(tokens, lambda t: t != ""), lambda t: F.to_json(F.struct(F.lit("token").alias("type"), t.alias("data"))))
