@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestack.runtime import cut_lineage
 
+MERGE_LEVELS = 8
+
 
 def edges_of(child_edges: DataFrame, link_edges: DataFrame) -> DataFrame:
     """Distinct ``src, dst`` of both kinds; edges with a null end are dropped."""
@@ -37,5 +39,7 @@ def bfs(edges: DataFrame, root: str, max_pages: int | None = None, failed: DataF
         if not n:
             break
         seen += n
-        visited = cut_lineage(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)  # of written levels, merged now and then to keep the plan short
+        if depth % MERGE_LEVELS == 0:
+            visited = cut_lineage(visited.coalesce(max(1, spark.sparkContext.defaultParallelism)))
     return visited

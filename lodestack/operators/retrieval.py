@@ -29,19 +29,32 @@ def top_per_query(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``id, term, tf``; null texts give none; repeated rows of an id count once."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").dropDuplicates(["id"])
-    return rows.select("id", F.explode(terms(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25_weights(inverted: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``id, term, weight`` of every posting: BM25 with non-negative idf, in two aggregates and one join on term."""
-    lengths = Window.partitionBy("id")
-    posted = inverted.withColumn("len", F.sum("tf").over(lengths))
-    one = inverted.agg(F.countDistinct("id").alias("n"), F.sum("tf").alias("total"))
-    df = inverted.groupBy("term").agg(F.count("*").alias("df"))
-    every = df.crossJoin(F.broadcast(one))
+def _terms_of(docs: DataFrame, id_col: str, text: str, ids_unique: bool) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    if not ids_unique:
+        rows = rows.dropDuplicates(["id"])
+    return rows.select("id", terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+
+
+def postings(docs: DataFrame, id_col: str, text: str, ids_unique: bool = False) -> DataFrame:
+    """``id, term, tf``; null texts give none; repeated rows of an id count once.
+
+    ``ids_unique`` says that no id is repeated, which spares a shuffle of the texts.
+    """
+    return _terms_of(docs, id_col, text, ids_unique).select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def bm25_weights(docs: DataFrame, id_col: str, text: str, ids_unique: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+    """``id, term, weight`` of every posting: BM25 with non-negative idf.
+
+    A document's length rides along its terms, and the corpus totals come from the documents, so only the postings
+    and the document frequencies are shuffled, once each.
+    """
+    rows = _terms_of(docs, id_col, text, ids_unique).withColumn("len", F.size("terms"))
+    one = rows.agg(F.count("*").alias("n"), F.sum("len").alias("total"))
+    posted = rows.select("id", "len", F.explode("terms").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    every = df.crossJoin(F.broadcast(one))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     every = every.select("term", idf.alias("idf"), (F.col("total") / F.col("n")).alias("avg_len"))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

@@ -239,11 +239,11 @@ _BM25 = f"""WITH p AS ({_DOC_POSTINGS}), l AS (SELECT id, sum(tf) AS len FROM p
 
 @query(_DOC_POSTINGS)
 def sparse_postings(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.postings(table(spark, d, "documents"), "doc_id", "text")
+    return retrieval.postings(table(spark, d, "documents"), "doc_id", "text", ids_unique=True)
 
 
 def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    weights = retrieval.bm25_weights(retrieval.postings(table(spark, d, "documents"), "doc_id", "text"))
+    weights = retrieval.bm25_weights(table(spark, d, "documents"), "doc_id", "text", ids_unique=True)
     return retrieval.sparse_topk(retrieval.query_terms(table(spark, d, "eval_items"), "item_id", "item_text"), weights, k)
 
 

@@ -52,12 +52,3 @@ def row_key(*cols: str, sep: str = ":"):
             parts.append(F.lit(sep))
         parts.append(F.coalesce(F.col(c).cast("string"), F.lit("")))
     return F.concat(*parts)
-
-
-def fan_out(df: DataFrame, least: int = 2) -> DataFrame:
-    """Spread few large input splits over the cores before CPU-heavy Python work.
-
-    A no-op when the scan already has enough splits, so that no text is shuffled without need.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= min(least, cores) else df.repartition(cores)

@@ -95,7 +95,7 @@ class _Reader(DataSourceReader):
                     yield (page_id, child, "child")
             else:
                 got = fetch_json(f"{self.base}/rest/api/content/{page_id}?expand=body.storage,version", **self.how)
-                if got:
+                if got is not None:
                     yield page_row(self.base, self.space, page_id, got)
 
 

@@ -65,7 +65,7 @@ def test_lsh_finds_most_neighbours(spark):
 
 def test_sparse_side(spark):
     docs = spark.createDataFrame([(1, "Red apple apple"), (1, "Red apple apple"), (2, "green pear"), (3, None), (4, "")], "id long, text string")
-    weights = retrieval.bm25_weights(retrieval.postings(docs, "id", "text"))
+    weights = retrieval.bm25_weights(docs, "id", "text")
     q = spark.createDataFrame([(7, "APPLE pear!"), (8, "nothing")], "id long, text string")
     got = retrieval.sparse_topk(retrieval.query_terms(q, "id", "text"), weights, 5)
     assert [(r.query_id, r["rank"], r.id) for r in got.orderBy("rank").collect()] in ([(7, 1, 1), (7, 2, 2)], [(7, 1, 2), (7, 2, 1)])

@@ -1,6 +1,6 @@
 import json
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,7 +106,7 @@ class Wiki(BaseHTTPRequestHandler):
 
 @pytest.fixture
 def wiki():
-    server = HTTPServer(("127.0.0.1", 0), Wiki)
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Wiki)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     yield f"http://127.0.0.1:{server.server_port}"
     server.shutdown()
@@ -121,11 +121,11 @@ def test_rest_source(spark, wiki):
         wiki_rest.home_page_id(wiki, "S", sleep=waits.append)
     Wiki.fails = {}
     assert list(wiki_rest.child_ids(wiki, "1")) == ["2", "3"]
-    pages, attempted = wiki_rest.crawl(spark, wiki, "S", backoff="0")
+    pages, attempted = wiki_rest.crawl(spark, wiki, "S", backoff="0.1")
     assert attempted == ["1", "2", "3", "4", "6"]  # 3 fails and contributes nothing; 6 is linked from a page's text
     got = {r.page_id: r for r in pages.collect()}
     assert set(got) == {"1", "2", "4", "6"} and got["2"].url == f"{wiki}/spaces/S/pages/2/P+2" and got["6"].title == "Untitled-6" and got["6"].version == 1 and got["6"].content_html == ""
-    assert wiki_rest.crawl(spark, wiki, "S", max_pages=2, backoff="0")[1] == ["1", "2"]
+    assert wiki_rest.crawl(spark, wiki, "S", max_pages=2, backoff="0.1")[1] == ["1", "2"]
 
 
 def test_ndjson(spark, tmp_path):
