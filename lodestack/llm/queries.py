@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import knn, leakage, markup, mixing, near_duplicates, pii, qa_pairs, reading_level, split
+from lodestack.llm.sql import SQL  # noqa: F401 - read by the entry module
 from lodestack.runtime import table
 
 
@@ -109,4 +110,4 @@ QUERIES = {
     "p10_found": p10_found, "p10_profile": p10_profile,
 }
 
-SQL: dict[str, str] = {}
+
