@@ -30,6 +30,8 @@ GROUPS = 16
 SKETCH_BITS = 20
 #: Estimated prefix matches above which a record takes the next longer prefix.
 COSTS = (2.0, 200.0, 10_000.0)
+#: Records of a band that one task compares; larger bands are compared in tiles of two blocks of records.
+TILE_RECORDS = 100_000
 #: Copies up to this number are written out as pairs; more copies are linked to their least id.
 COPIES = 64
 #: Pairs that a group counts at a time.
@@ -83,7 +85,12 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
     return np.minimum(sketch, 2**31 - 1).astype(np.int32)
 
 
-def prefix_of(runs: np.ndarray, sketch: np.ndarray, s: Fraction) -> tuple[np.ndarray, int]:
+def band_of(n: int) -> int:
+    """Band of a set's size; similar sets of at least half are in one band or in neighbours."""
+    return n.bit_length() - 1
+
+
+def prefix_of(runs: np.ndarray, sketch: np.ndarray, s: Fraction, costs: tuple[float, ...] = COSTS) -> tuple[np.ndarray, int]:
     """The prefix of a set in the global order, and the ``k`` that was chosen by estimated cost."""
     df = sketch[runs & ((1 << SKETCH_BITS) - 1)]
     order = np.lexsort((runs, df))
@@ -92,7 +99,7 @@ def prefix_of(runs: np.ndarray, sketch: np.ndarray, s: Fraction) -> tuple[np.nda
     base = n - least
     k_most = 1 + max(0, (least - 1) // GROUPS)
     matches = float(df[order[: base + 1]].astype(np.int64).sum() - (base + 1))
-    k = min(k_most, 1 + int(np.searchsorted(COSTS, matches)))
+    k = min(k_most, 1 + int(np.searchsorted(costs, matches)))
     return runs[order[: min(n, base + extension(k))]], k
 
 
@@ -101,45 +108,54 @@ def _place_type(n: int) -> type:
     return np.uint16 if n < 1 << 16 else np.int32
 
 
-def _postings(sent, s: Fraction):
+def _postings(sent, s: Fraction, costs: tuple[float, ...]):
+    reach = band_of(-(-s.denominator // s.numerator) * 2 - 1)  # bands between a set and its smallest partner
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = sent.value
+        sketch, blocks = sent.value
         seen: set[int] = set()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(8)]
             for same, runs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if same in seen:
                     continue
                 seen.add(same)
                 r = runs.values.to_numpy()
-                prefix, k = prefix_of(r, sketch, s)
+                prefix, k = prefix_of(r, sketch, s, costs)
                 n = len(r)
                 place = np.arange(len(prefix), dtype=_place_type(n))
                 group = (prefix >> 33) & (GROUPS - 1)
-                band = int(np.log2(n))
+                band = band_of(n)
                 for g in range(GROUPS):
                     at = np.flatnonzero(group == g)
                     if not len(at):
                         continue
-                    # smaller partners of up to a band less are compared in their band
-                    for b in (band, band - 1):
-                        for c, v in zip(cols, (g, b, same, n, k, (prefix[at] & 0xFFFFFFFF).astype(np.uint32).tobytes(), place[at].tobytes()), strict=True):
-                            c.append(v)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["grp", "band", "same", "n", "k", "toks", "places"])
+                    toks, places = (prefix[at] & 0xFFFFFFFF).astype(np.uint32).tobytes(), place[at].tobytes()
+                    # smaller partners are compared in their band
+                    for b in range(band, band - reach - 1, -1):
+                        n_blocks = blocks.get(b, 1)
+                        mine = same % n_blocks
+                        for other in range(n_blocks):
+                            tile = min(mine, other) * n_blocks + max(mine, other)
+                            for c, v in zip(cols, (g, b, tile, same, n, k, toks, places), strict=True):
+                                c.append(v)
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["grp", "band", "tile", "same", "n", "k", "toks", "places"])
 
     return prefixes
 
 
-def _count_group(table: pa.Table, s: Fraction) -> pa.Table:
-    """Pairs of a group and band that share enough prefix runs there to be reported."""
+def _count_group(table: pa.Table, s: Fraction, blocks: dict[int, int]) -> pa.Table:
+    """Pairs of a group, band and tile that share enough prefix runs there to be reported."""
     out = {"a": [], "b": [], "hits": [], "k": []}
-    band = table.column("band")[0].as_py()
+    band, n_blocks = table.column("band")[0].as_py(), blocks.get(table.column("band")[0].as_py(), 1)
+    one, other = divmod(table.column("tile")[0].as_py(), n_blocks)
     same = table.column("same").to_numpy()
     _, first = np.unique(same, return_index=True)  # a class may come from several tasks
     same, size, k = same[first], table.column("n").to_numpy()[first].astype(np.int64), table.column("k").to_numpy()[first].astype(np.int64)
     toks = [np.frombuffer(x, np.uint32) for x in table.column("toks").take(pa.array(first)).to_pylist()]
     places = [np.frombuffer(x, _place_type(n)) for x, n in zip(table.column("places").take(pa.array(first)).to_pylist(), size, strict=True)]
+    block = same % n_blocks
     doc = np.repeat(np.arange(len(same)), [len(x) for x in toks])
     tok, place = np.concatenate(toks).astype(np.int64), np.concatenate(places).astype(np.int64)
     n, ext = size[doc], extension(k)[doc]
@@ -149,7 +165,7 @@ def _count_group(table: pa.Table, s: Fraction) -> pa.Table:
     widest = n * s.denominator // s.numerator
     stop = np.searchsorted(key, (tok << 28) | np.minimum(widest, (1 << 28) - 1), side="right")
     # the smaller set of a pair needs its run within the prefix for a partner of its own size or more
-    here = np.log2(n).astype(np.int64) == band
+    here = (n >= 1 << max(band, 0)) & (n < 1 << (max(band, 0) + 1)) if band >= 0 else np.zeros(len(n), bool)
     small = np.flatnonzero(here & (place < n - need(n, n, s) + ext))
     fan = stop[small] - small - 1
     small, fan = small[fan > 0], fan[fan > 0]
@@ -169,6 +185,8 @@ def _count_group(table: pa.Table, s: Fraction) -> pa.Table:
         o = need(n[i], n[j], s)
         e = np.minimum(ext[i], ext[j])
         good = (place[i] < n[i] - o + e) & (place[j] < n[j] - o + e) & (doc[i] != doc[j])
+        if one != other:  # pairs inside a block belong to the block's own tile
+            good &= block[doc[i]] != block[doc[j]]
         pair, hits = np.unique(doc[i][good] * len(same) + doc[j][good], return_counts=True)
         x, y = pair // len(same), pair % len(same)
         kk = np.minimum(k[x], k[y])
@@ -185,9 +203,11 @@ def _count_group(table: pa.Table, s: Fraction) -> pa.Table:
 def similar_classes(sets: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs ``a < b`` of different sets (by hash) of at least the similarity; ``sets`` is read several times."""
     spark = sets.sparkSession
-    sent = spark.sparkContext.broadcast(frequency_sketch(sets))
-    postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity), "grp int, band int, same long, n int, k int, toks binary, places binary")
-    counted = postings.groupBy("grp", "band").applyInArrow(lambda t: _count_group(t.combine_chunks(), similarity), "a long, b long, hits long, k long")
+    sizes = {r[0]: r[1] for r in sets.groupBy(F.floor(F.log2(F.size("runs"))).cast("int").alias("band")).agg(F.count("*")).collect()}  # a few dozen bands
+    blocks = {b: -(-(sizes.get(b, 0) + sizes.get(b + 1, 0)) // TILE_RECORDS) or 1 for b in range(-2, max(sizes, default=0) + 2)}
+    sent = spark.sparkContext.broadcast((frequency_sketch(sets), blocks))
+    postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity, COSTS), "grp int, band int, tile int, same long, n int, k int, toks binary, places binary")
+    counted = postings.groupBy("grp", "band", "tile").applyInArrow(lambda t: _count_group(t.combine_chunks(), similarity, blocks), "a long, b long, hits long, k long")
     sums = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.count("*").alias("groups"), F.max("k").alias("k"))
     silent = F.greatest(F.lit(1), F.col("k") - 1) - 1  # most matches of a group that did not report
     pairs = sums.where(F.col("hits") + (GROUPS - F.col("groups")) * silent >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")

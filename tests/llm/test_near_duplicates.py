@@ -51,6 +51,14 @@ def test_every_length_of_prefix_is_complete(spark, monkeypatch):
         assert set(tuples(nd.pairs_of(*nd.near_duplicates(df, "key", None, "body", 3, Fraction(1, 2))))) == want
 
 
+def test_tiles_of_large_bands(spark, monkeypatch):
+    monkeypatch.setattr(nd, "TILE_RECORDS", 25)
+    for s in (Fraction(1, 2), Fraction(1, 3)):
+        rows = corpus(150, 9)
+        df = spark.createDataFrame(rows, "key string, body string")
+        assert set(tuples(nd.pairs_of(*nd.near_duplicates(df, "key", None, "body", 3, s)))) == brute(rows, 3, s)
+
+
 def test_copies_of_a_third_and_groups(spark):
     base = "one two three four five six seven eight nine ten"
     rows = [(f"c{i:03d}", base) for i in range(90)] + [("d1", base + " eleven"), ("x", "quite another text with other words in it"), ("e", None), ("f", " "), ("g", "a b"), (None, base)]
