@@ -271,11 +271,11 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d, 20).withColumn("score", F.round("score", 6))
 
 
-@query("WITH a AS (SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id % 100 = 0) SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])), 6) AS cosine FROM a x JOIN a y ON x.id < y.id")
+@query("SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0")
 def cosine(spark: SparkSession, d: str) -> DataFrame:
-    v = _vectors(spark, d).where("id % 100 = 0")
-    pairs = v.select(F.col("id").alias("a"), F.col("vec").alias("va")).join(F.broadcast(v.select(F.col("id").alias("b"), F.col("vec").alias("vb"))), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(fx.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
+    v = _vectors(spark, d)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("a"), F.col("vec").alias("va"))
+    return asked.join(v.select(F.col("id").alias("b"), F.col("vec").alias("vb")), F.col("a") != F.col("b")).select("a", "b", F.round(fx.cosine(F.col("va"), F.col("vb")), 6).alias("cosine"))
 
 
 #: A second list per query: other vectors by the Euclidean distance of their unit vectors' first half.
