@@ -16,7 +16,7 @@ from lodestack.operators.encoders import encode, postings_of
 from lodestack.operators.html import parse_pages
 from lodestack.operators.upsert import latest_by
 from lodestack.plans import pipeline
-from lodestack.runtime import table
+from lodestack.runtime import cut_lineage, table
 from lodestack.streaming import feeds
 
 BASE = "https://wiki.quillmere.example"
@@ -462,6 +462,6 @@ def vector_postings(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    chunks = pipeline.ingest(table(spark, d, "pages"))
+    chunks = cut_lineage(pipeline.ingest(table(spark, d, "pages")))  # encoded once, read by several branches
     questions = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), F.col("item_text").alias("question"))
     return pipeline.answer_questions(questions, chunks)["answers"]

@@ -12,6 +12,7 @@ from lodestack.operators.encoders import encode
 from lodestack.operators.html import parse_pages
 from lodestack.operators.retrieval import distinct_queries, hybrid_search, rerank_lexical, rerank_passthrough
 from lodestack.operators.upsert import latest_by, upsert_table
+from lodestack.runtime import cut_lineage
 
 
 def latest_pages(pages: DataFrame) -> DataFrame:
@@ -56,10 +57,13 @@ def ingest(pages: DataFrame, path: str | None = None, replace_page: bool = True,
 
 
 def answer_questions(questions: DataFrame, chunks: DataFrame, limit: int = 20, top_k: int = 5, use_mmr: bool = False, rerank: str = "lexical", histories: DataFrame | None = None, dim: int = 384) -> dict[str, DataFrame]:
-    """Hits, sources, contexts, prompts, answers and events for ``query_id, question`` rows, as lazy frames."""
+    """Hits, sources, contexts, prompts, answers and events for ``query_id, question`` rows, as lazy frames.
+
+    Each different question is encoded once. ``chunks`` is read by several branches: hand in a written table.
+    """
     asked = questions.where("question IS NOT NULL")
     unique = distinct_queries(asked, "question", limit, use_mmr)
-    encoded = encode(unique.select(F.col("cache_key").alias("id"), "text"), "text")
+    encoded = cut_lineage(encode(unique.select(F.col("cache_key").alias("id"), "text"), "text"))
     found = hybrid_search(encoded, chunks, limit, use_mmr, dim)
     texts = chunks.select("id", F.col("chunk").alias("text"))
     best = rerank_lexical(found, unique.select(F.col("cache_key").alias("id"), "text"), texts, top_k) if rerank == "lexical" else rerank_passthrough(found, top_k)
