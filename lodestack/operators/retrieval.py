@@ -99,7 +99,8 @@ def _blocks_of_queries(queries: DataFrame, dim: int) -> Iterator[tuple[list, np.
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, exclude_self: bool = False) -> DataFrame:
     """Exact cosine top-k of every query among all vectors; a zero vector has cosine 0 with any other.
 
-    Both inputs: ``id, vec``; vectors of another length, null ids and repeated ids (of equal vectors) are left out.
+    Both inputs: ``id, vec``; vectors of another length and null ids are left out. A repeated id counts once, with its
+    best score, and takes one of the ``k`` places.
     The query set is stated by the caller; it is sent in blocks of a bounded size, each scanned against all
     vectors, of which every task keeps its ``k`` best per query before the final ranking.
     """
@@ -124,12 +125,19 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, exclude
                 v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
                 n = np.linalg.norm(v, axis=1)
                 s = np.round((x @ v.T) / np.where(n > 0, n, 1)[None, :], SCORE_DIGITS)
+                place: dict = {}
+                of = np.array([place.setdefault(d, len(place)) for d in own])
+                repeated, own = len(place) < len(own), list(place)
+                if repeated:  # rows of an id side by side
+                    order = np.argsort(of, kind="stable")
+                    starts = np.searchsorted(of[order], np.arange(len(own)))
                 m = min(len(own), k + 1)
                 for i in range(len(ids)):
-                    cut = np.partition(s[i], len(own) - m)[len(own) - m]
-                    for j in np.flatnonzero(s[i] >= cut):
+                    row = np.fmax.reduceat(s[i][order], starts) if repeated else s[i]
+                    cut = np.partition(row, len(own) - m)[len(own) - m]
+                    for j in np.flatnonzero(row >= cut):
                         if not (exclude_self and own[j] == ids[i]):
-                            best[i][own[j]] = float(s[i, j])
+                            best[i][own[j]] = max(best[i].get(own[j], -np.inf), float(row[j]))
                     if len(best[i]) > 4 * k:
                         best[i] = dict(sorted(best[i].items(), key=lambda t: (-t[1], t[0]))[:k])
             if kind is not None:
@@ -141,7 +149,8 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, exclude
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"query_id {q_type}, rank int, id {id_type}, score double")
-    return top_per_query(out.distinct(), k).select("query_id", "rank", "id", "score")
+    once = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top_per_query(once, k).select("query_id", "rank", "id", "score")
 
 
 def dense_lsh_topk(queries: DataFrame, vectors: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 6) -> DataFrame:

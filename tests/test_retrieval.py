@@ -53,6 +53,15 @@ def test_dense_topk_equals_brute_force(spark, monkeypatch):
     assert retrieval.dense_topk(v.where("false"), v, 3, 8).count() == retrieval.dense_topk(v, v.where("false"), 3, 8).count() == 0
 
 
+def test_copies_of_an_id_take_one_place(spark):
+    rows = [(7, [1.0, 0.0])] * 9 + [(8, [0.9, 0.1]), (1, [0.8, 0.2]), (2, [0.7, 0.3]), (3, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1)
+    assert [r.id for r in retrieval.dense_topk(v.where("id = 7"), v, 4, 2).orderBy("rank").collect()] == [7, 8, 1, 2]
+    assert [r.id for r in retrieval.dense_topk(v.where("id = 7"), v, 3, 2, exclude_self=True).orderBy("rank").collect()] == [8, 1, 2]
+    apart = v.repartition(4)
+    assert [r.id for r in retrieval.dense_topk(v.where("id = 7"), apart, 4, 2).orderBy("rank").collect()] == [7, 8, 1, 2]
+
+
 def test_lsh_finds_most_neighbours(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(10, 16))
