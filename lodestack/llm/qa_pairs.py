@@ -18,6 +18,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.runtime import cut_lineage
+
 #: Function words by language.
 FUNCTION_WORDS = {
     "en": "the a an of and to is was were in for that it this with you not are be been can cannot should by on at as after before each our we they from which when where why how who what if does do did has have had than whether because so there here into i my your their its will may only or but no yes found already given under while could would these those one per says neither nor explain could",
@@ -147,24 +149,34 @@ def refusal_language(answer: str) -> str | None:
     return declined if declined and not left else None
 
 
+def count_contexts(texts: Iterable[str], seen: Counter, ends: Counter) -> None:
+    """Add how often each pair (word before or "", word) stands in the texts, and how often it ends a sentence."""
+    for text in texts:
+        for line in text.split("\n"):
+            for sentence in re.split(r"(?<=[.!?…])\s+", line):
+                t = _TOKEN.findall(sentence.lower())
+                closed = sentence.rstrip()[-1:] in ".!?…"
+                if not closed:  # whether the last word is an end is what is asked
+                    del t[-1:]
+                seen.update(zip(["", *t], t))
+                if closed and t:
+                    ends[last_words(t)] += 1
+
+
+def last_words(t: list[str]) -> tuple[str, str]:
+    """The last two words; "" for one that is missing."""
+    return (t[-2] if len(t) > 1 else "", t[-1] if t else "")
+
+
 class TerminalContexts:
     """Interpolated model of P(end | last two words), from sentence ends of the texts themselves."""
 
     def __init__(self, texts: Iterable[str]):
         self.seen, self.ends = Counter(), Counter()
-        for text in texts:
-            for line in text.split("\n"):
-                for sentence in re.split(r"(?<=[.!?…])\s+", line):
-                    t = _TOKEN.findall(sentence.lower())
-                    closed = sentence.rstrip()[-1:] in ".!?…"
-                    for i, w in enumerate(t):
-                        last = i == len(t) - 1
-                        if last and not closed:  # whether this is an end is what is asked
-                            continue
-                        two = (t[i - 1] if i else "", w)
-                        for key in (two, w):
-                            self.seen[key] += 1
-                            self.ends[key] += last
+        count_contexts(texts, self.seen, self.ends)
+        for counts in (self.seen, self.ends):
+            for (_, w), n in list(counts.items()):
+                counts[w] += n
         n = sum(v for k, v in self.seen.items() if isinstance(k, str))
         self.base = sum(v for k, v in self.ends.items() if isinstance(k, str)) / n if n else 0.1
 
@@ -182,6 +194,12 @@ class TerminalContexts:
 
 def is_truncated(answer: str, ends: TerminalContexts, least: float = 0.02) -> bool:
     """Whether the text stops before it is finished."""
+    stops = stops_early(answer, least)
+    return stops if isinstance(stops, bool) else ends(stops[0]) < stops[1]
+
+
+def stops_early(answer: str, least: float = 0.02) -> bool | tuple[str, float]:
+    """Whether the text stops before it is finished; where its last words decide, their line and the least P(end)."""
     text = _INVISIBLE.sub("", answer).rstrip()
     if text.count("```") % 2:
         return True
@@ -200,17 +218,22 @@ def is_truncated(answer: str, ends: TerminalContexts, least: float = 0.02) -> bo
         return False  # pictographs, closing marks
     line = text[text.rfind("\n") + 1 :]
     if _BULLET.match(line):
-        return ends(line) < least / 4
+        return line, least / 4
     fragments = [f for f in re.split(r"(?<=[.!?…])\s+", line) if f.strip()]
     if len(fragments) > 1 or re.search(r"[.!?…]\s*\n", text):
         return True  # sentences are closed here, the last one is not
     if len(_CHAR_WORD.findall(text)) <= 3:
         return False
-    return ends(line) < least
+    return line, least
 
 
 def defect(question: str | None, answer: str | None, ends: TerminalContexts) -> str | None:
     """Kind of defect of an answer, or None."""
+    return defect_of_whole(question, answer) or ("truncated" if is_truncated(answer, ends) else None)
+
+
+def defect_of_whole(question: str | None, answer: str | None) -> str | None:
+    """Kind of defect of an answer other than a missing end, or None."""
     if is_empty(answer):
         return "empty"
     if is_copy(question, answer):
@@ -222,44 +245,80 @@ def defect(question: str | None, answer: str | None, ends: TerminalContexts) ->
     a_lang, a_margin = language(re.sub(r"```.*?(?:```|$)|https?://\S+", " ", answer, flags=re.S))
     if q_lang and a_lang and a_lang != q_lang and a_margin >= 1.5 and q_margin >= 0.9:
         return "other_language"
-    return "truncated" if is_truncated(answer, ends) else None
+    return None
+
+
+#: Pairs of words a task counts before it sends them on.
+PAIRS_AT_ONCE = 200_000
+
 
+def terminal_counts(feedback: DataFrame) -> DataFrame:
+    """``before, word, seen, ends``: the counts of ``count_contexts`` over all answers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, ends = Counter(), Counter()
+
+        def table() -> pa.RecordBatch:
+            cols = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([ends[k] for k in seen], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, names=["before", "word", "seen", "ends"])
+
+        for batch in batches:
+            count_contexts(batch.column(0).to_pylist(), seen, ends)
+            if len(seen) > PAIRS_AT_ONCE:
+                yield table()
+                seen, ends = Counter(), Counter()
+        yield table()
 
-#: Bound of the answers the terminal-context model is fitted on.
-MAX_FIT = 20_000
+    counted = feedback.select("answer").where(F.col("answer").isNotNull()).mapInArrow(count, "before string, word string, seen long, ends long")
+    return counted.groupBy("before", "word").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
 
 
-def fit_terminal_contexts(feedback: DataFrame, most: int = MAX_FIT) -> TerminalContexts:
-    """Fit on at most ``most`` answers, those of least hash; every answer is then judged."""
-    n = feedback.select("answer").where(F.col("answer").isNotNull()).count()
-    share = min(1.0, most / max(1, n))
-    h = F.pmod(F.xxhash64("answer", "feedback_id"), F.lit(1_000_003))
-    rows = feedback.where(F.col("answer").isNotNull() & (h < share * 1_000_003)).select("answer").collect()
-    return TerminalContexts(r[0] for r in rows)
+def _open_ends(asked: DataFrame, feedback: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (``before, word, least``) that end less probably than ``least``, as ``TerminalContexts`` has it."""
+    counts = cut_lineage(terminal_counts(feedback))
+    total = counts.agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends")).first()
+    base = total.ends / total.seen if total.seen else 0.1
+    words = counts.groupBy("word").agg(F.sum("seen").alias("w_seen"), F.sum("ends").alias("w_ends"))
+    known = asked.join(words, "word", "left").join(counts, ["before", "word"], "left")
+    one = (F.col("w_ends") + 2 * base) / (F.col("w_seen") + 2)
+    two = (F.coalesce("ends", F.lit(0)) + 4 * one) / (F.coalesce("seen", F.lit(0)) + 4)
+    chance = F.when(F.col("word") == "", F.lit(base)).when(F.col("w_seen").isNull(), F.lit(0.2 * base)).otherwise(two)
+    return known.where(chance < F.col("least"))
 
 
 def broken_pairs(feedback: DataFrame, ends: TerminalContexts | None = None) -> DataFrame:
     """Every entry whose answer is defective, with the kind of defect.
 
+    Without ``ends``, the last words of answers are judged by counts over all answers, which are joined to them.
     A null answer is 'empty'; a null question is compared with nothing, so its answer can only be empty, refused
     or truncated. Entries of null id are kept under the empty id. Repeated rows give one row; extra columns are
     ignored; very long texts are judged whole. Result: ``feedback_id, defect``.
     """
-    sent = feedback.sparkSession.sparkContext.broadcast(ends or fit_terminal_contexts(feedback))
+    sent = feedback.sparkSession.sparkContext.broadcast(ends)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            ids, kinds = [], []
+            rows = []
             for key, q, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                kind = defect(q, a, model)
-                if kind:
-                    ids.append(key)
-                    kinds.append(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.string())], names=["feedback_id", "defect"])
+                kind = defect_of_whole(q, a)
+                stops = False if kind else stops_early(a)
+                if model is not None and not isinstance(stops, bool):
+                    stops = model(stops[0]) < stops[1]
+                if kind or stops is True:
+                    rows.append((key, kind or "truncated", None, None, None))
+                elif stops:
+                    rows.append((key, None, *last_words(_TOKEN.findall(stops[0].lower())), stops[1]))
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["feedback_id", "defect", "before", "word", "least"])
 
     rows = feedback.select(F.coalesce("feedback_id", F.lit("")).alias("feedback_id"), "question", "answer")
-    return rows.mapInArrow(judge, "feedback_id string, defect string").distinct()
+    judged = rows.mapInArrow(judge, "feedback_id string, defect string, before string, word string, least double")
+    if ends is not None:
+        return judged.select("feedback_id", "defect").distinct()
+    judged = cut_lineage(judged)
+    late = _open_ends(judged.where("defect IS NULL").drop("defect"), feedback).select("feedback_id", F.lit("truncated").alias("defect"))
+    return judged.where("defect IS NOT NULL").select("feedback_id", "defect").unionByName(late).distinct()
 
 
 def defect_profile(feedback: DataFrame, broken: DataFrame) -> DataFrame:

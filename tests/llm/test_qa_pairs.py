@@ -58,3 +58,13 @@ def test_profile(spark, data):
     kinds = {r.defect for r in broken.collect()}
     assert kinds == {"empty", "copy", "refusal", "truncated", "other_language"}
     assert sum(r.n for r in qa.defect_profile(f, broken).collect()) == broken.count()
+
+
+def test_last_words_are_judged_by_all_answers(spark, data):
+    long = "The records of the old store were moved to the new store by the night shift and checked"
+    rare = [f"{c}{v}llmer" for c in "bdfgk" for v in "aeiou"]
+    rows = [(str(i), Q, f"{long} again.") for i in range(30_000)] + [(w, Q, f"{long} by {w}.") for w in rare] + [(f"{w}-open", Q, f"{long} by {w}") for w in rare] + [("cut", Q, f"{long} by xyll")]
+    df = spark.createDataFrame(rows, "feedback_id string, question string, answer string").repartition(4)
+    assert tuples(qa.broken_pairs(df)) == [("cut", "truncated")]
+    f = spark.read.parquet(f"{data}/feedback.parquet")
+    assert tuples(qa.broken_pairs(f)) == tuples(qa.broken_pairs(f, qa.TerminalContexts(r.answer for r in f.collect() if r.answer is not None)))
