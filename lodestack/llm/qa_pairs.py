@@ -130,9 +130,11 @@ def is_copy(question: str | None, answer: str) -> bool:
     if not question:
         return False
     q, a = _plain(question), _plain(answer)
-    if len(q) < 8 or len(a) < 0.6 * len(q) or len(a) > 2 * len(q) + 40:
+    if len(q) < 8 or len(a) < 0.6 * len(q):
         return False
-    return novel_bytes(a, q) <= 16 + len(a) // 40 and novel_bytes(q, a) <= 10 + len(q) // 10
+    # what is new may grow with the question but not with its repetitions, of which a block of 128 KB costs a few bytes
+    new = 16 + min(len(a), 2 * len(q) + 40) // 40 + 12 * (len(a) >> 17)
+    return novel_bytes(a, q) <= new and novel_bytes(q, a) <= 10 + len(q) // 10
 
 
 def refusal_language(answer: str) -> str | None:

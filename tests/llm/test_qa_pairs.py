@@ -68,3 +68,13 @@ def test_last_words_are_judged_by_all_answers(spark, data):
     assert tuples(qa.broken_pairs(df)) == [("cut", "truncated")]
     f = spark.read.parquet(f"{data}/feedback.parquet")
     assert tuples(qa.broken_pairs(f)) == tuples(qa.broken_pairs(f, qa.TerminalContexts(r.answer for r in f.collect() if r.answer is not None)))
+
+
+def test_copy_repeated_at_any_length():
+    asked = "Could you tell me where I can find the list of all records that were moved to the new store in Fenula last week?"
+    for q in (Q, asked):
+        for n in (3, 4, 50, 20_000):
+            assert qa.defect(q, " ".join([q] * n), ENDS) == "copy"
+            assert qa.defect(q, "\n".join([f"Q: {q}"] * n), ENDS) == "copy"
+        for n in (1, 10, 1000, 100_000):
+            assert qa.defect(q, f"{q} " + "The cache was emptied on Monday morning. " * n, ENDS) is None
