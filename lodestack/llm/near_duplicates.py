@@ -32,7 +32,7 @@ SKETCH_BITS = 20
 COSTS = (2.0, 200.0, 10_000.0)
 #: Records of a band that one task compares; larger bands are compared in tiles of two blocks of records.
 TILE_RECORDS = 100_000
-#: Copies up to this number are written out as pairs; more copies are linked to their least id.
+#: Exact copies up to this number are written out as pairs; more copies are linked to their least id.
 COPIES = 64
 #: Pairs that a group counts at a time.
 PAIRS_AT_ONCE = 3_000_000
@@ -55,24 +55,25 @@ def reported(k):
 
 
 def record_sets(records: DataFrame, key: str, title: str | None, text: str, width: int) -> DataFrame:
-    """``key, same, runs``: the sorted distinct runs of every record, and a hash of them all; without runs, no row."""
+    """``key, same, copy, runs``: the sorted distinct runs of every record, a hash of them all, and one of title and text; without runs, no row."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
         for batch in batches:
-            keys, same, runs = [], [], []
+            keys, same, copy, runs = [], [], [], []
             for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 r = np.unique(shingles(ids(words(f"{a or ''} {b}")), width))
                 if len(r):
                     keys.append(k)
                     same.append(xxhash.xxh3_64_intdigest(r))
+                    copy.append(xxhash.xxh3_64_intdigest(f"{len(a or '')} {a or ''}{b}"))
                     runs.append(r.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int32)
             flat = np.concatenate(runs) if runs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.array(same, dtype=np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "same", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in (same, copy)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["key", "same", "copy", "runs"])
 
     rows = records.select(F.col(key).cast("string").alias("key"), (F.col(title) if title else F.lit(None)).cast("string").alias("title"), F.col(text).alias("text"))
-    return rows.where(F.col("key").isNotNull() & (F.trim("text") != "")).mapInArrow(sets, "key string, same long, runs array<long>")
+    return rows.where(F.col("key").isNotNull() & (F.trim("text") != "")).mapInArrow(sets, "key string, same long, copy long, runs array<long>")
 
 
 def frequency_sketch(sets: DataFrame) -> np.ndarray:
@@ -228,23 +229,22 @@ def current_pages(pages: DataFrame) -> DataFrame:
 
 
 def near_duplicates(records: DataFrame, key: str, title: str | None, text: str, width: int = WIDTH, similarity: Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Membership (``key, same``: records of equal sets share ``same``) and the links ``a, b`` between classes.
+    """Membership (``key, same, copy``: records of equal sets share ``same``, exact copies ``copy``) and the links ``a, b`` between classes.
 
     Null keys, null or blank texts, and texts of fewer words than ``width`` give no rows; a null title is the empty
     text; repeated rows count once; extra columns are ignored; no link between different sets is lost.
     """
     sets = cut_lineage(record_sets(records, key, title, text, width))
-    return sets.select("key", "same").distinct(), similar_classes(sets, similarity)
+    return sets.select("key", "same", "copy").distinct(), similar_classes(sets, similarity)
 
 
 def pairs_of(members: DataFrame, links: DataFrame, copies: int = COPIES) -> DataFrame:
-    """Pairs ``key_a < key_b``. Classes of more than ``copies`` records stand with their least key, to which each copy is linked."""
-    sized = members.groupBy("same").agg(F.count("*").alias("m"), F.min("key").alias("rep"))
-    of = members.join(sized, "same")
-    spread = of.where((F.col("m") <= copies) | (F.col("key") == F.col("rep"))).select("same", "key", "m")
+    """Pairs ``key_a < key_b``. More than ``copies`` exact copies stand with their least key, to which each of them is linked."""
+    sized = members.groupBy("same", "copy").agg(F.count("*").alias("m"), F.min("key").alias("rep"))
+    of = members.join(sized, ["same", "copy"])
+    spread = of.where((F.col("m") <= copies) | (F.col("key") == F.col("rep"))).select("same", "key")
     across = links.join(spread.select(F.col("same").alias("a"), F.col("key").alias("x")), "a").join(spread.select(F.col("same").alias("b"), F.col("key").alias("y")), "b").select("x", "y")
-    few = spread.where((F.col("m") > 1) & (F.col("m") <= copies)).select("same", "key")
-    inside = few.select("same", F.col("key").alias("x")).join(few.select("same", F.col("key").alias("y")), "same").where("x < y").select("x", "y")
+    inside = spread.select("same", F.col("key").alias("x")).join(spread.select("same", F.col("key").alias("y")), "same").where("x < y").select("x", "y")
     star = of.where((F.col("m") > copies) & (F.col("key") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("key").alias("y"))
     both = across.unionByName(inside).unionByName(star)
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).where("key_a <> key_b").distinct()
@@ -265,7 +265,7 @@ def groups_of(members: DataFrame, links: DataFrame, rounds: int = 50) -> DataFra
         if not step.where("moved").limit(1).count():
             break
     degree = both.groupBy(F.col("a").alias("same")).agg(F.count("*").alias("n_links"))
-    known = members.join(label.select(F.col("node").alias("same"), "low"), "same", "left").join(degree, "same", "left")
+    known = members.select("key", "same").distinct().join(label.select(F.col("node").alias("same"), "low"), "same", "left").join(degree, "same", "left")
     known = known.withColumn("low", F.coalesce("low", "same"))
     least = known.groupBy("low").agg(F.min("key").alias("group_id"))
     return known.join(least, "low").select("key", "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

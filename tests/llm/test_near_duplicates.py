@@ -74,6 +74,17 @@ def test_copies_of_a_third_and_groups(spark):
     assert nd.pairs_of(*none).count() == nd.groups_of(*none).count() == 0
 
 
+def test_pairs_of_different_texts_are_no_copies(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [(f"c{i:03d}", base.replace(" ", "," * i + " ")) for i in range(70)] + [(f"e{i:03d}", base + "!") for i in range(66)] + [("d", base + " eleven")]
+    df = spark.createDataFrame(rows, "key string, text string")
+    members, links = nd.near_duplicates(df, "key", None, "text", 3, Fraction(1, 2))
+    pairs = set(tuples(nd.pairs_of(members, links)))
+    apart = [f"c{i:03d}" for i in range(70)] + ["d", "e000"]  # exact copies stand with their least key
+    assert pairs == {(x, y) for x in apart for y in apart if x < y} | {("e000", f"e{i:03d}") for i in range(1, 66)}
+    assert {r.group_id for r in nd.groups_of(members, links).collect()} == {"c000"}
+
+
 def test_long_chains_become_one_group(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     members = spark.createDataFrame([(f"k{i:02d}", i) for i in range(41)], "key string, same long")
