@@ -250,14 +250,21 @@ def pairs_of(members: DataFrame, links: DataFrame, copies: int = COPIES) -> Data
     return both.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).where("key_a <> key_b").distinct()
 
 
-def groups_of(members: DataFrame, links: DataFrame, rounds: int = 50) -> DataFrame:
-    """``key, group_id, n_links``: connected groups of records by least class, and the links of each record's class."""
+def groups_of(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, group_id, n_links``: connected groups of records by least class, and the links of each record's class.
+
+    Labels only fall, and rounds go on until none moves.
+    """
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = cut_lineage(both.distinct())
     label = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("low", F.col("node")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("around"))
-        step = label.join(near, "node").select("node", F.least("low", "around").alias("low"), (F.col("around") < F.col("low")).alias("moved"))
+        step = label.join(near, "node")
+        # the class that was the label is told as well, and with it all that have this label
+        told = step.where("around < low").groupBy(F.col("low").alias("node")).agg(F.min("around").alias("told"))
+        least = F.least("low", "around", "told")
+        step = step.join(told, "node", "left").select("node", least.alias("low"), (least < F.col("low")).alias("moved"))
         # follow the label of the label, which halves the way
         hop = step.select(F.col("node").alias("low"), F.col("low").alias("next"))
         step = cut_lineage(step.join(hop, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("low"), "moved"))

@@ -91,6 +91,13 @@ def test_long_chains_become_one_group(spark):
     assert {r.group_id for r in nd.groups_of(members, links).collect()} == {"k00"}
 
 
+def test_chains_of_unfavourable_order_become_one_group(spark):
+    chain = [0, *range(120, 0, -1)]
+    links = spark.createDataFrame([(min(x, y), max(x, y)) for x, y in zip(chain, chain[1:])], "a long, b long")
+    members = spark.createDataFrame([(f"k{i:03d}", i) for i in chain], "key string, same long")
+    assert {r.group_id for r in nd.groups_of(members, links).collect()} == {"k000"}
+
+
 def test_current_pages(spark):
     rows = [("1", 1, "a", "old"), ("1", 2, "b", "new"), ("1", 2, "b", "new"), ("2", None, None, None), (None, 1, "x", "x")]
     got = nd.current_pages(spark.createDataFrame(rows, "page_id string, version int, title string, content_text string"))
