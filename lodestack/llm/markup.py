@@ -31,7 +31,7 @@ MACROS = "info|note|warning|tip|panel|expand|code|noformat|quote|color|toc|secti
 
 _HTML = re.compile(r"<!--.*?-->|<!doctype[^>]*>|</?[A-Za-z][A-Za-z0-9]*(?::[A-Za-z][\w-]*)?(?:\s+[\w:@.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*\s*/?>|&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});", re.S | re.I)
 _LATEX = re.compile(
-    r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?|\$\$[^$]+\$\$|\\\((?:[^\\\n]|\\[^)\n])+\\\)|\\\[(?:[^\\]|\\[^\]])+\\\]|\$(?=\S)[^$\n]{1,200}?(?<=\S)\$(?!\d)"
+    r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?|\$\$[^$]+\$\$|\\\((?:[^\\\n]|\\[^)\n])+\\\)|\\\[(?:[^\\]|\\[^\]])+\\\]|\$(?=\S)[^$\n]+?(?<=\S)\$(?!\d)"
     r"|\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{(?:[^{}\n]|\{[^{}\n]*\})*\}(?:\{(?:[^{}\n]|\{[^{}\n]*\})*\})?|\\[A-Za-z]+(?![A-Za-z])|\\[\\%&#_{}$]|(?<=\w)~(?=\w)|(?<=\})~(?=\w)"
 )
 _MARKDOWN = re.compile(

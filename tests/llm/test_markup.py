@@ -21,6 +21,14 @@ def test_notations(model, text, kind, clean):
     assert markup.clean_text(text, found) == clean
 
 
+def test_long_inline_formulas(model):
+    formula = " + ".join(f"x_{i}" for i in range(60))
+    text = f"It is ${formula}$ wide."
+    found = markup.judged(text, model)
+    assert len(formula) > 200 and {m.notation for m in found} == {"latex"}
+    assert markup.clean_text(text, found) == f"It is {formula} wide."
+
+
 @pytest.mark.parametrize("text", [
     "Post in #ops-5 when it is done.", "The rule fires when load < 7 and lag > 22.", "Capacity is 5 * 4 * 2 slots.", "Set $HOME and $PATH first.", "It costs $5 per seat and $12 per item.", "The method __init__ reads array[0] and {id}.", "Logs are in C:\\temp\\new\\alpha here.", "C# and F# use a -> b.",
     "The type List<String> is used.", "Delete *.log and *.tmp below it.", "Rename user_session_id to session_key.", "[WARN] R&D said so.", "one | two | three\nfour | five | six", "Write to <a+b@c.example>, please.", "", None,
