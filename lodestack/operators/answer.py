@@ -53,6 +53,11 @@ def previous_turns(turns: DataFrame) -> DataFrame:
     return turns.withColumn("last", F.max("turn").over(w)).where("turn < last").drop("last")
 
 
+def session_counters(turns: DataFrame) -> DataFrame:
+    """``conv_id, n_queries, n_messages``: how often the user asked, and all messages of a conversation."""
+    return turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n_queries"), F.count("*").alias("n_messages"))
+
+
 def prompts(questions: DataFrame, contexts: DataFrame, histories: DataFrame | None = None, template: str = CHAT_PROMPT) -> DataFrame:
     """``query_id, prompt``; a query without context or history has an empty one.
 

@@ -105,6 +105,11 @@ def test_sources_context_history(spark):
     assert "{history}?" in got["q"] and "Sources:\n\n" in got["z"]
 
 
+def test_session_counters(spark):
+    turns = spark.createDataFrame([("c", 1, "user", "hi"), ("c", 2, "assistant", "yo"), ("c", 3, "user", None), ("d", 1, "assistant", "x"), ("d", 2, None, "y")], "conv_id string, turn int, role string, content string")
+    assert tuples(answer.session_counters(turns)) == [("c", 2, 3), ("d", 0, 2)]
+
+
 def test_event_stream(spark):
     rows = [("q", 0, '{"type":"sources","data":[]}'), ("q", 1, '{"type":"token","data":"a "}'), ("q", 2, "not json"), ("q", 3, '{"type":"token","data":"b"}'), ("q", 4, '{"type":"end"}'), ("q", 5, '{"type":"token","data":"c"}')]
     assert answer.fold_events(spark.createDataFrame(rows, "query_id string, seq int, event string")).first().answer == "a b"
