@@ -4,6 +4,10 @@ Shapes and name dictionaries propose segments of bounded length; whole-span and
 segment with its type; dynamic programming over the segments jointly chooses boundaries and types. Text that no
 segment touches can only be ordinary. The weights are trained by the field's likelihood on labelled sentences that
 ``training_sentences`` writes.
+
+Entities are bounded, as the method asks: a segment has at most ``MAX_SPAN`` characters, a number at most
+``MAX_NUMBER`` and ``MIN_DIGITS`` to ``MAX_DIGITS`` digits. Of a longer run of digits and separators every part of
+that size between two gaps is a segment.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ TYPES = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 #: Longest segment in characters; entities are far shorter.
 MAX_SPAN = 160
+#: Bounds of a number: characters and digits (the longest telephone and identity numbers, with extension).
+MAX_NUMBER, MIN_DIGITS, MAX_DIGITS = 40, 6, 17
 #: Bound of the name dictionary that is sent to the executors.
 MAX_NAMES = 500_000
 
@@ -51,6 +57,8 @@ _ADDRESSES = (
     ("es", re.compile(rf"(?<!\w)(?:calle|c/|avenida|avda\.?|plaza|paseo|camino|carrera){_S}*(?:(?:de{_S}+la|de{_S}+los|de|del|la){_S}+)?[^\W\d_][\w'’-]*(?:{_S}[A-Z][\w'’-]+)?,?{_S}*(?:n[º°o]\.?{_S}*)?\d{{1,4}}{_S}?[a-z]?(?!\w)", re.I)),
 )
 _DE_END = re.compile(rf"(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer|damm|chaussee){_S}+\d{{1,4}}(?:{_S}?[a-z](?!\w))?(?!\w)", re.I)
+#: Words before a street type that stands alone, as in "Am Ring 5".
+_BEFORE_STREET = re.compile(rf"(?:(?<!\w)(?i:am|im|zum|zur|an der|in der|auf dem){_S}+|(?<!\w)[A-ZÄÖÜ][^\W\d_]+(?:e|er|es|en){_S}+)$")
 _STREET_HINT = re.compile(rf"(?<!\w)(?:{_STREET_EN}|rue|avenue|av|boulevard|bd|place|chemin|impasse|allée|quai|route|cours|calle|c/|avenida|avda|plaza|paseo|camino|carrera)(?!\w)", re.I)
 _AFTER_STREET = re.compile(_CITY)
 _TITLES = r"dr|mr|mrs|ms|miss|prof|professor|sir|herr|frau|mme|mlle|monsieur|madame|sr|sra|srta|señor|señora|don|doña|m"
@@ -92,16 +100,17 @@ class Names:
 
 
 def _cue(text: str, start: int) -> list[str]:
-    """Nearest cue words before a segment, within its sentence."""
+    """Cue words before a segment, within its sentence: which there are, the nearest, and whether it stands right before."""
     left = text[max(0, start - 48) : start]
     left = re.split(r"[.!?]\s|\n", left)[-1]
-    best, at = "none", -1
+    best, at, kinds = "none", -1, set()
     for name, rx in _CUES:
         for m in rx.finditer(left):
+            kinds.add(name)
             if m.end() >= at:
                 best, at = name, m.end()
-    near = "near" if at >= 0 and len(left) - at <= 12 else "far"
-    return [f"cue={best}", f"cue={best}:{near}"]
+    gap = len(left) - at if at >= 0 else 99
+    return [f"cue={best}", f"cue={best}:{'next' if gap <= 3 else 'near' if gap <= 12 else 'far'}", *(f"cues={k}" for k in sorted(kinds)), f"all={'+'.join(sorted(kinds))}"]
 
 
 def _number_features(text: str, a: int, b: int) -> list[str]:
@@ -140,22 +149,18 @@ def candidates(text: str, names: Names) -> list[Segment]:
                 b -= 1
             tail = re.split(r"[^A-Za-z0-9]+", s.rstrip(".-"))[-1].lower()
             host = s.rpartition("@")[2]
-            f = [f"hidden={'@' not in s}", "file" if tail in {"png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "js", "css", "pdf"} else "tld", f"scale={bool(re.match(r'[0-9]+x[.]', host))}", f"brackets={bool(re.search('[][(){}]', s))}", f"short={len(tail) < 2}"]
+            f = [f"hidden={'@' not in s}", "file" if tail in {"png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "js", "css", "pdf"} else "tld", f"scale={bool(re.match(r'[0-9]+x[.]', host))}", f"brackets={bool(re.search('[][(){}]', s))}", f"short={len(tail) < 2}", f"digits={tail.isdigit()}"]
             if "@" not in s and not re.search(r"[\[({<＠]", s):
                 f.append("words only" if not re.search(r"\sdot\s", s, re.I) else "words with dot")
             out.append(Segment(a, b, "email", f))
     for m in _NUMBER.finditer(text):
-        a, b = m.start(), m.end()
-        if b - a < 7 or b - a > 40:
-            continue
-        s = text[a:b]
-        digits = sum(c.isdigit() for c in s)
-        if digits < 6 or digits > 17:
-            continue
-        before = text[a - 1] if a else ""
-        f = [*_number_features(text, a, b), *_cue(text, a), f"before={before if before in '-#/$.:=' else ''}"]
-        out.append(Segment(a, b, "phone", f))
-        out.append(Segment(a, b, "id_number", f))
+        for a, b in _numbers(text, m.start(), m.end()):
+            before = text[a - 1] if a else ""
+            f = [*_number_features(text, a, b), *_cue(text, a), f"before={before if before in '-#/$.:=' else ''}"]
+            if (a, b) != m.span():
+                f.append("part")
+            out.append(Segment(a, b, "phone", f))
+            out.append(Segment(a, b, "id_number", f))
     if _STREET_HINT.search(text):
         for lang, rx in _ADDRESSES:
             for m in rx.finditer(text):
@@ -164,6 +169,11 @@ def candidates(text: str, names: Names) -> list[Segment]:
         a = m.start()
         while a > 0 and (text[a - 1].isalpha() or text[a - 1] == "-") and m.start() - a < 40:
             a -= 1
+        if a == m.start():  # the type of street stands alone
+            before = _BEFORE_STREET.search(text, max(0, a - 40), a)
+            if not before:
+                continue
+            a = before.start()
         _add_address(text, a, m.end(), "de", out)
     if names.family:
         low = same_length_lower(text)
@@ -172,11 +182,32 @@ def candidates(text: str, names: Names) -> list[Segment]:
     return [s for s in out if s.end - s.start <= MAX_SPAN]
 
 
+def _numbers(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The spans a run of digits and separators may be: all of it, or where it is too long its parts between gaps."""
+    digits = sum(c.isdigit() for c in text[a:b])
+    if b - a <= MAX_NUMBER and digits <= MAX_DIGITS:
+        if b - a >= 7 and digits >= MIN_DIGITS:
+            yield a, b
+        return
+    groups = [(m.start(), m.end()) for m in re.compile(r"\(?\+?[^\W_]+\)?").finditer(text, a, b)]
+    for i, (x, _) in enumerate(groups):
+        if i and text[groups[i - 1][1] : x].strip(" \t\u00a0/") and not text[groups[i - 1][1] : x].isspace():
+            continue  # a part does not begin behind a dash or a dot
+        n = 0
+        for j in range(i, len(groups)):
+            y, z = groups[j]
+            n += sum(c.isdigit() for c in text[y:z])
+            if z - x > MAX_NUMBER or n > MAX_DIGITS:
+                break
+            if z - x >= 7 and n >= MIN_DIGITS:
+                yield x, z
+
+
 def _add_address(text: str, a: int, b: int, lang: str, out: list[Segment]) -> None:
     s = text[a:b]
     name = [w for w in re.findall(r"[^\W\d_][\w'’-]*", s)]
-    small = {"the", "of", "and", "in", "on", "for", "to", "was", "is", "a", "an", "with", "by", "at", "from", "its", "our", "each", "days", "hours", "minutes", "pages", "records", "shards", "tenants", "workers", "retries", "replicas", "gigabytes", "partitions"}
-    f = [f"lang={lang}", f"upper={sum(w[0].isupper() for w in name) >= 2 or (lang in ('de', 'fr') and any(w[0].isupper() for w in name))}", f"small={any(w.lower() in small for w in name)}", f"flat={bool(re.search(_FLAT, s, re.I))}", f"words={min(6, len(name))}", f"line={chr(10) in s}", f"mixed={any(w[0].islower() for w in name[:-1]) and name[-1][0].isupper()}:{lang}" if name else "no name"]
+    small = {"the", "of", "and", "in", "on", "for", "to", "was", "is", "a", "an", "with", "by", "at", "from", "its", "our", "each", "per", "are"}
+    f = [f"lang={lang}", f"upper={sum(w[0].isupper() for w in name) >= 2 or (lang in ('de', 'fr') and any(w[0].isupper() for w in name))}", f"small={any(w.lower() in small for w in name)}", f"flat={bool(re.search(_FLAT, s, re.I))}", f"words={min(6, len(name))}", f"line={chr(10) in s}", f"count={bool(name) and name[0].islower() and name[0].endswith('s')}:{lang}", f"mixed={any(w[0].islower() for w in name[:-1]) and name[-1][0].isupper()}:{lang}" if name else "no name"]
     out.append(Segment(a, b, "address", [*f, "plain"]))
     m = _AFTER_STREET.match(text, b)
     if m and text[b : b + 1] == ",":
@@ -188,7 +219,7 @@ def _add_person(text: str, low: str, a: int, b: int, names: Names, out: list[Seg
     glued = (a and text[a - 1] in "@-/\\.+" and not text[a - 1].isspace() and not (text[a - 1] == "." and a > 1 and text[a - 2].isalpha() and (a < 3 or not text[a - 3].isalnum()))) or (b < len(text) and (text[b] in "@/\\-_" or (text[b] == "." and b + 1 < len(text) and text[b + 1].isalnum())))
     base = ["glued" if glued else "free", f"case={'upper' if text[a:b].isupper() else 'title' if text[a].isupper() else 'lower'}"]
     nxt = re.match(rf"{_S}*([^\W\d_]+)", text[b : b + 24])
-    base.append("thing behind" if nxt and nxt.group(1).lower() in {"adapter", "service", "server", "cluster", "host", "module", "plugin", "product", "api", "build", "node", "driver", "connector", "router", "engine"} else "other behind")
+    base.append("thing behind" if nxt and nxt.group(1).lower() in {"service", "server", "module", "product", "engine", "machine", "model", "brand", "company", "tool", "app"} else "other behind")
     m = _BEFORE_NAME.search(text, max(0, a - 48), a)
     s, form = a, []
     if m:
@@ -267,7 +298,7 @@ class SemiMarkovField:
             beta[before[i - 1]] = np.logaddexp(beta[before[i - 1]], score[i - 1] + beta[i])
         return [float(np.exp(alpha[before[i]] + score[i] + beta[i + 1] - alpha[n])) for i in range(n)]
 
-    def fit(self, data: list[tuple[list[Segment], set[tuple[int, int, str]]]], epochs: int = 25, rate: float = 0.5, decay: float = 1e-3, seed: int = 3) -> SemiMarkovField:
+    def fit(self, data: list[tuple[list[Segment], set[tuple[int, int, str]]]], epochs: int = 16, rate: float = 0.5, decay: float = 1e-3, seed: int = 3) -> SemiMarkovField:
         rng = random.Random(seed)
         data = [(sorted(s, key=lambda x: (x.end, x.start, x.kind)), gold) for s, gold in data if s]
         for epoch in range(epochs):
@@ -285,15 +316,18 @@ class SemiMarkovField:
 
 
 def training_sentences(family: list[str], given: list[str], n: int = 2500, seed: int = 5) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """Labelled sentences: values in the notations of public formats, and numbers and names that identify things."""
+    """Labelled sentences: values in the notations of public formats, and numbers and names that identify things.
+
+    The words around the values are those of a household and of shops, so that no table's sentences are among them.
+    """
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     nz = lambda k: r.choice("123456789") + d(k - 1)
     cap = lambda: r.choice("BDFGKLMNPRSTVW") + "".join(r.choice("aeioulnrst") for _ in range(r.randint(4, 9)))
-    nouns = ["report", "queue", "old form", "shared list", "plan", "access request", "server room", "backup", "draft", "calendar"]
+    noun = lambda: r.choice(["kettle", "violin lesson", "garden gate", "bakery", "ferry", "old piano", "choir", "order of tea", "lost ticket", "error in the menu", "spare part", "case of wine"])
 
     def email() -> str:
-        user = r.choice([f"{cap()}.{cap()}", f"{cap()}{d(2)}", f"{cap()[0]}.{cap()}", f"{cap()}_{cap()}", f"{cap()}-{cap()}", f"{cap()}+{r.choice(['lab', 'wiki', 'alerts'])}"]).lower()
+        user = r.choice([f"{cap()}.{cap()}", f"{cap()}{d(2)}", f"{cap()[0]}.{cap()}", f"{cap()}_{cap()}", f"{cap()}-{cap()}", f"{cap()}+{r.choice(['tea', 'news', 'shop'])}"]).lower()
         host = [cap().lower(), *([cap().lower() + r.choice(["", "-it"])] if r.random() < 0.7 else []), r.choice(["example", "test", "invalid", "com", "org", "net", "de", "io"])]
         s = r.choice([f"{user}@{'.'.join(host)}"] * 3 + [f"{user} [at] {' [dot] '.join(host)}", f"{user}(at){'.'.join(host)}", f"{user} (at) {' (dot) '.join(host)}", f"{user} at {' dot '.join(host)}", f"{user}[at]{'[dot]'.join(host)}", f"{user}{{at}}{'.'.join(host)}"])
         return s.upper() if r.random() < 0.1 else s
@@ -301,7 +335,7 @@ def training_sentences(family: list[str], given: list[str], n: int = 2500, seed:
     def phone() -> str:
         return r.choice([
             f"+1 ({nz(3)}) {d(3)}-{d(4)}", f"({nz(3)}) {d(3)}-{d(4)}", f"({nz(3)}) {d(3)} {d(4)} ext. {nz(2)}", f"{nz(3)}-{d(3)}-{d(4)}", f"{nz(3)}.{d(3)}.{d(4)}", f"+1{nz(10)}", f"+44 20 {d(4)} {d(4)}", f"020 {d(4)} {d(4)}",
-            f"+49 (0){nz(2)} {d(5)}-{d(3)}", f"0049 {nz(2)} {d(5)} {d(3)}", f"+49 {nz(3)} {d(7)}", f"0{nz(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+33 {nz(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {nz(3)} {d(2)} {d(2)} {d(2)}", f"0{nz(3)}/{d(6)}", f"0{nz(3)}-{d(7)}", f"{nz(3)} {d(3)} {d(4)}", f"+{nz(11)}", f"+{nz(2)} {nz(3)} {d(3)} {d(3)}",
+            f"+49 (0){nz(2)} {d(5)}-{d(3)}", f"0049 {nz(2)} {d(5)} {d(3)}", f"+49 {nz(3)} {d(7)}", f"0{nz(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+33 {nz(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {nz(3)} {d(2)} {d(2)} {d(2)}", f"0{nz(3)}/{d(6)}", f"0{nz(3)}-{d(7)}", f"{nz(3)} {d(3)} {d(4)}", f"+{nz(11)}", f"+{nz(2)} {nz(3)} {d(3)} {d(3)}", f"0{nz(2)} {d(7)}",
         ])
 
     def id_number() -> tuple[str, str]:
@@ -314,7 +348,7 @@ def training_sentences(family: list[str], given: list[str], n: int = 2500, seed:
         city = cap()
         s = r.choice([
             f"{nz(3)} {cap()} {r.choice(['Street', 'Road', 'Avenue', 'Lane', 'Rd', 'Ave', 'St'])}, {city}", f"{nz(2)}{r.choice('abc')} {cap()} {r.choice(['Rd', 'Lane', 'Street'])}, {city} {d(5)}", f"{nz(3)} {cap()} Avenue, Apt {nz(1)}, {city}", f"Flat {nz(1)}, {nz(3)} {cap()} Lane, {city}",
-            f"{cap()}straße {nz(3)}, {d(5)} {city}", f"{cap()}weg {nz(2)} a, {city}", f"{cap()}straße {nz(2)}", f"{nz(3)}, rue de {cap()}, {d(5)} {city}", f"{nz(2)} rue {cap()}", f"Calle {cap()} {nz(2)}, {d(5)} {city}", f"{nz(3)} {cap()} {r.choice(['Street', 'Road'])}",
+            f"{cap()}straße {nz(3)}, {d(5)} {city}", f"{cap()}weg {nz(2)} a, {city}", f"{cap()}straße {nz(2)}", f"{nz(3)}, rue de {cap()}, {d(5)} {city}", f"{nz(2)} rue {cap()}", f"Calle {cap()} {nz(2)}, {d(5)} {city}", f"{nz(3)} {cap()} {r.choice(['Street', 'Road'])}", f"Am Ring {nz(2)}, {d(5)} {city}",
         ])
         return s.lower() if r.random() < 0.08 else s
 
@@ -326,35 +360,44 @@ def training_sentences(family: list[str], given: list[str], n: int = 2500, seed:
     def decoy() -> str:
         f = r.choice(family or ["Abcdefberg"])
         return r.choice([
-            f"Order {nz(1)}-{d(9)}", f"Serial SN {nz(3)}-{d(2)}-{d(4)}", f"Ticket INC-{nz(10)}", f"build 2024{d(6)}", f"node at 10.{nz(2)}.{nz(3)}.{nz(2)}", f"version {nz(1)}.{nz(2)}.{d(4)}.{d(2)}", f"logo@2x.png", f"icon@3x.png", f"the {f} adapter", f"the {f} server", f"Host {f.lower()}-{nz(2)}", f"host {f.lower()}-{nz(2)}.{cap().lower()}",
-            f"invoice {nz(10)}", f"device {nz(8)}", f"part {nz(3)}-{d(3)}-{d(4)}", f"on 2024-0{nz(1)}-1{d(1)} 10:12", f"limit of {nz(3)} pages on the way", f"{nz(3)} records in the lane", f"Lane {nz(1)} of the pipeline feeds Street View", f"tracking {nz(3)}-{d(7)}", f"case {nz(8)}", f"{f} product", f"serial number {nz(9)}", f"IMEI {nz(15)}",
-            f"{nz(2)} entries in the square", f"Lane {nz(1)} of {nz(2)} {nz(2)} feeds Street View tiles", f"we met at {cap().lower()} and waited", f"batch {nz(3)} {d(3)} {d(4)}", f"commit {nz(8)}",
+            f"purchase order {nz(2)}-{d(8)}", f"Order no. {nz(1)}-{d(8)}", f"S/N {nz(3)}-{d(2)}-{d(4)}", f"serial no. {nz(3)}-{d(2)}-{d(4)}", f"SN: {nz(9)}", f"ticket REQ-{nz(9)}", f"case no. {nz(8)}", f"release {nz(4)}{d(5)}", f"Build {nz(10)}", f"ping 192.168.{nz(2)}.{nz(2)}", f"host 172.16.{nz(3)}.{nz(2)}", f"v{nz(1)}.{nz(2)}.{d(4)}.{d(2)}", f"{cap().lower()}@4x.jpg", f"{cap()}@2x.webp", f"{cap().lower()}-small@3x.gif",
+            f"our {f} kettle", f"a {f} lamp", f"the {f} engine", f"{f} brand tea", f"{f.lower()}-{nz(2)} went down", f"{f.lower()}.{cap().lower()}.example", f"receipt {nz(10)}", f"lot {nz(3)} {d(3)} {d(4)}", f"part no. {nz(3)}-{d(3)}-{d(4)}", f"since 19{d(2)}-0{nz(1)}-1{d(1)} 09:3{d(1)}", f"{nz(3)} steps along the way", f"{nz(2)} cups on the place", f"{nz(3)} bricks of the road", f"Row {nz(1)} of {nz(2)} is in Park View", f"tracking no. {nz(3)}-{d(7)}",
+            f"asset {nz(9)}", f"device {nz(8)}", f"IMEI {nz(15)}", f"{nz(2)} pots fit the court", f"looked at {cap().lower()} and left", f"lives at 192.168.{nz(2)}.{nz(2)}", f"revision {nz(8)}", f"sizes {' '.join(nz(3) for _ in range(r.randint(3, 8)))}", f"Ring {nz(3)}", f"Platz {nz(2)} is taken",
         ])
 
     lead = {
-        "email": ["Send it to ", "Questions go to ", "mailto:", "cc ", "The owner can be reached at ", "Please write <", "My address is ", "Why can "], "phone": ["Call ", "The number for it is ", "hotline: ", "For the plan dial ", "Who answers ", "Tel. ", "Is ", "Fax ", "reach us on "],
-        "address": ["Ship it to ", "The courier took it to ", "Spare parts go to ", "Is ", "She lives at ", "Send the form to ", "deliver to "], "person": ["Ask ", "According to ", "It was last changed by ", "Handover: ", "Did ", "Please thank ", "", "Is "],
+        "email": ["Reach the author under ", "reply to ", "mail: ", "Invitations went to ", "His account is ", "bcc ", "Register with <", "Has anyone written to ", ""],
+        "phone": ["Phone ", "Ring ", "mobile: ", "Her cell is ", "Text us at ", f"The number for the {noun()} is ", "Fax no. ", "T: ", "Will anyone pick up ", f"Telephone of the {noun()}: ", "dial ", "", "Is "],
+        "address": ["We moved to ", "The parcel was left at ", "Visitors come to ", "He rents ", "Post: ", "Was it ", "Return the keys to ", ""],
+        "person": ["Thanks to ", "signed by ", "The letter from ", "Cc: ", "Our neighbour ", "", "written by ", "Has ", "Best wishes, "],
     }
     for _ in range(n):
         text, gold = "", []
         for _ in range(r.randint(1, 3)):
             if text:
                 text += r.choice([" ", "\n", " "])
-            what = r.choice([*TYPES, "decoy", "decoy", "plain"])
+            what = r.choice([*TYPES, "phone", "decoy", "decoy", "plain"])
             if what == "plain":
-                text += f"The {r.choice(nouns)} of {cap()} waits {nz(2)} days. "
+                text += f"Grandmother liked the {noun()} of {cap()} for {nz(2)} years. "
                 continue
             if what == "decoy":
-                text += r.choice(["", "We saw ", "The "]) + decoy() + r.choice([".", f" covers the {r.choice(nouns)}.", " is fine."])
+                text += r.choice(["", "They sold ", "Once "]) + decoy() + r.choice([".", f" beside the {noun()}.", " as usual."])
+                continue
+            if what == "phone" and r.random() < 0.08:  # two numbers side by side
+                text += r.choice(["Ring ", "T: ", "Phone "])
+                for k in (0, 1):
+                    value = phone()
+                    gold.append((len(text), len(text) + len(value), what))
+                    text += value + (" / " if not k else ".")
                 continue
             if what == "id_number":
                 name, value = id_number()
-                text += r.choice(["Someone pasted ", f"The {r.choice(nouns)} quotes ", "we saw ", "Why does it show ", "my "]) + name + r.choice([" ", " ", ": "])
+                text += r.choice(["He wrote his ", f"The {noun()} needs a ", "her ", "Was it ", "my "]) + name + r.choice([" ", " ", ": "])
             else:
                 value = {"email": email, "phone": phone, "address": address, "person": person}[what]()
                 text += r.choice(lead[what])
             gold.append((len(text), len(text) + len(value), what))
-            text += value + r.choice([".", f" about the {r.choice(nouns)}.", " and wait.", ", please.", f" into the {r.choice(nouns)}.", "", "?"])
+            text += value + r.choice([".", f" about the {noun()}.", " as soon as you can.", ", thanks.", f" with the {noun()}.", "", "?", " tomorrow?"])
         yield text, gold
 
 

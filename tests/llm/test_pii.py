@@ -2,6 +2,7 @@ import pytest
 
 from conftest import tuples
 from lodestack.llm import pii
+from lodestack.llm.words import words
 
 FAMILY, GIVEN = ["Arkmere", "Oldcroft", "Wendberg"], ["Minla", "Torvi", "Elso"]
 NAMES = pii.Names(FAMILY, GIVEN)
@@ -30,6 +31,30 @@ def test_no_items(model, text):
     assert pii.entities(text, model, NAMES) == []
 
 
+#: Written by hand, in sentences that ``training_sentences`` does not use.
+UNSEEN = [
+    ("Ring 555 0199.", [("phone", "555 0199")]), ("Call 030 1234567 / 030 7654321 now", [("phone", "030 1234567"), ("phone", "030 7654321")]), ("The number for the error report is 020 7946 0926.", [("phone", "020 7946 0926")]), ("Our new office: 12 Harbour Street, Millport.", [("address", "12 Harbour Street, Millport")]), ("It stands at 207b Fengate Rd, Elmford", [("address", "207b Fengate Rd, Elmford")]),
+    ("Minla Arkmere and Dr. Oldcroft were late.", [("person", "Minla Arkmere"), ("person", "Dr. Oldcroft")]), ("My e-mail is a.b@c.example; passport C12345678.", [("email", "a.b@c.example"), ("id_number", "C12345678")]), ("Wir treffen uns Am Ring 5, 12345 Elmstadt.", [("address", "Am Ring 5, 12345 Elmstadt")]),
+    ("Invoice 4711-00812 was paid.", []), ("The server at 10.0.12.7 is down.", []), ("Version 2.14.1003.7 is out.", []), ("It took 300 days and 20 people.", []), ("Oldcroft engines are loud.", []), ("Set 100 200 300 400 500 600 700 800 900 aside.", []),
+]
+
+
+def test_unseen_sentences(model):
+    wrong = [(t, got) for t, want in UNSEEN if (got := [(s.kind, t[s.start : s.end]) for s in pii.entities(t, model, NAMES)]) != want]
+    assert len(wrong) <= 1, wrong
+
+
+def test_training_sentences_hold_no_sentence_of_the_tables(spark, data):
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    names = spark.read.parquet(f"{data}/name_parts.parquet").collect()
+    family, given = ([n.name_part for n in names if n.part_kind == k] for k in ("family", "given"))
+    seen = set()
+    for name, col in (("pages", "content_text"), ("feedback", "comment"), ("feedback", "question")):
+        for (t,) in spark.read.parquet(f"{data}/{name}.parquet").select(col).distinct().collect():
+            seen |= runs(t)
+    assert not seen & set().union(*(runs(t) for t, _ in pii.training_sentences(family, given, 3000)))
+
+
 def test_held_out_accuracy(model):
     found = wrong = total = 0
     for text, gold in pii.training_sentences(FAMILY, GIVEN, 400, seed=1234):
