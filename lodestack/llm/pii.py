@@ -205,7 +205,7 @@ def _numbers(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
 
 def _add_address(text: str, a: int, b: int, lang: str, out: list[Segment]) -> None:
     s = text[a:b]
-    name = [w for w in re.findall(r"[^\W\d_][\w'’-]*", s)]
+    name = re.findall(r"(?<!\w)[^\W\d_][\w'’-]*", s)
     small = {"the", "of", "and", "in", "on", "for", "to", "was", "is", "a", "an", "with", "by", "at", "from", "its", "our", "each", "per", "are"}
     f = [f"lang={lang}", f"upper={sum(w[0].isupper() for w in name) >= 2 or (lang in ('de', 'fr') and any(w[0].isupper() for w in name))}", f"small={any(w.lower() in small for w in name)}", f"flat={bool(re.search(_FLAT, s, re.I))}", f"words={min(6, len(name))}", f"line={chr(10) in s}", f"count={bool(name) and name[0].islower() and name[0].endswith('s')}:{lang}", f"mixed={any(w[0].islower() for w in name[:-1]) and name[-1][0].isupper()}:{lang}" if name else "no name"]
     out.append(Segment(a, b, "address", [*f, "plain"]))
@@ -362,7 +362,7 @@ def training_sentences(family: list[str], given: list[str], n: int = 2500, seed:
         return r.choice([
             f"purchase order {nz(2)}-{d(8)}", f"Order no. {nz(1)}-{d(8)}", f"S/N {nz(3)}-{d(2)}-{d(4)}", f"serial no. {nz(3)}-{d(2)}-{d(4)}", f"SN: {nz(9)}", f"ticket REQ-{nz(9)}", f"case no. {nz(8)}", f"release {nz(4)}{d(5)}", f"Build {nz(10)}", f"ping 192.168.{nz(2)}.{nz(2)}", f"host 172.16.{nz(3)}.{nz(2)}", f"v{nz(1)}.{nz(2)}.{d(4)}.{d(2)}", f"{cap().lower()}@4x.jpg", f"{cap()}@2x.webp", f"{cap().lower()}-small@3x.gif",
             f"our {f} kettle", f"a {f} lamp", f"the {f} engine", f"{f} brand tea", f"{f.lower()}-{nz(2)} went down", f"{f.lower()}.{cap().lower()}.example", f"receipt {nz(10)}", f"lot {nz(3)} {d(3)} {d(4)}", f"part no. {nz(3)}-{d(3)}-{d(4)}", f"since 19{d(2)}-0{nz(1)}-1{d(1)} 09:3{d(1)}", f"{nz(3)} steps along the way", f"{nz(2)} cups on the place", f"{nz(3)} bricks of the road", f"Row {nz(1)} of {nz(2)} is in Park View", f"tracking no. {nz(3)}-{d(7)}",
-            f"asset {nz(9)}", f"device {nz(8)}", f"IMEI {nz(15)}", f"{nz(2)} pots fit the court", f"looked at {cap().lower()} and left", f"lives at 192.168.{nz(2)}.{nz(2)}", f"revision {nz(8)}", f"sizes {' '.join(nz(3) for _ in range(r.randint(3, 8)))}", f"Ring {nz(3)}", f"Platz {nz(2)} is taken",
+            f"asset {nz(9)}", f"device {nz(8)}", f"IMEI {nz(15)}", f"{nz(2)} pots fit the court", f"looked at {cap().lower()} and left", f"lives at 192.168.{nz(2)}.{nz(2)}", f"revision {nz(8)}", f"sizes {' '.join(nz(3) for _ in range(r.randint(3, 8)))}", f"Platz {nz(2)} is taken",
         ])
 
     lead = {
