@@ -5,6 +5,12 @@ two similar sets must share runs in short prefixes. A record whose prefix promis
 prefix and demands more shared runs before a pair is verified. Runs fall into ``GROUPS`` groups: a pair that must
 share ``GROUPS * (k - 1) + 1`` runs has a group in which it shares ``k``, so matches are counted inside the groups.
 Groups report pairs from ``k - 1`` matches on, and the reports of all groups bound a pair's shared runs from above.
+
+Where a group of a size band holds more than ``CELL_RUNS`` runs, it is split by run into cells, which report from
+fewer matches on, so that the bound holds. A posting is written once for each band it is compared in (two at a
+similarity of at least one half), however large the collection is. Only a run that more than ``TILE_RECORDS`` records
+hold is cut further: its holders are compared in tiles of two blocks of them, for which the postings of these holders
+(no others) are written once per block, ``m / TILE_RECORDS`` times for a run of ``m`` holders.
 """
 
 from __future__ import annotations
@@ -26,11 +32,15 @@ PAGE_WIDTH, PAGE_SIMILARITY = 3, Fraction(1, 2)
 #: Corpus default: five words, similarity 0.8.
 WIDTH, SIMILARITY = 5, Fraction(4, 5)
 GROUPS = 16
-#: Counters of the frequency sketch that orders the runs; its size bounds what is broadcast.
-SKETCH_BITS = 20
+#: Counters (a power of two) of the frequency sketch that orders the runs, least and most; the most bounds what is broadcast.
+SKETCH_BITS, MAX_SKETCH_BITS = 20, 22
+#: Occurrences of runs for which the sketch has one counter.
+RUNS_PER_COUNTER = 1_000
 #: Estimated prefix matches above which a record takes the next longer prefix.
 COSTS = (2.0, 200.0, 10_000.0)
-#: Records of a band that one task compares; larger bands are compared in tiles of two blocks of records.
+#: Runs that one task counts, about.
+CELL_RUNS = 2_000_000
+#: Records of one run that one task compares; a run of more is compared in tiles of two blocks of its records.
 TILE_RECORDS = 100_000
 #: Exact copies up to this number are written out as pairs; more copies are linked to their least id.
 COPIES = 64
@@ -49,9 +59,12 @@ def extension(k: np.ndarray | int) -> np.ndarray | int:
     return GROUPS * (k - 1) + 1
 
 
-def reported(k):
-    """Matches from which on a group reports a pair."""
-    return np.maximum(1, k - 1)
+def reported(k: np.ndarray, splits: int) -> np.ndarray:
+    """Matches from which on a cell reports a pair, where each group is split into ``splits`` cells.
+
+    All that ``GROUPS * splits`` cells keep for themselves is then less than the matches a pair must have.
+    """
+    return np.maximum(1, k - 1) if splits == 1 else 1 + (k - 1) // splits
 
 
 def record_sets(records: DataFrame, key: str, title: str | None, text: str, width: int) -> DataFrame:
@@ -76,12 +89,13 @@ def record_sets(records: DataFrame, key: str, title: str | None, text: str, widt
     return rows.where(F.col("key").isNotNull() & (F.trim("text") != "")).mapInArrow(sets, "key string, same long, copy long, runs array<long>")
 
 
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """How often runs occur, over all records, in counters of a fixed number; equal runs share one."""
+def frequency_sketch(sets: DataFrame, n_runs: int = 0) -> np.ndarray:
+    """How often runs occur, over all records, in counters of a bounded number; equal runs share one."""
+    bits = min(MAX_SKETCH_BITS, max(SKETCH_BITS, (n_runs // RUNS_PER_COUNTER).bit_length()))
     low = F.explode("runs").alias("run")
-    counted = sets.select(low).groupBy(F.col("run").bitwiseAND((1 << SKETCH_BITS) - 1).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    counted = sets.select(low).groupBy(F.col("run").bitwiseAND((1 << bits) - 1).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     got = counted.toArrow()
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    sketch = np.zeros(1 << bits, dtype=np.int64)
     sketch[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return np.minimum(sketch, 2**31 - 1).astype(np.int32)
 
@@ -93,7 +107,7 @@ def band_of(n: int) -> int:
 
 def prefix_of(runs: np.ndarray, sketch: np.ndarray, s: Fraction, costs: tuple[float, ...] = COSTS) -> tuple[np.ndarray, int]:
     """The prefix of a set in the global order, and the ``k`` that was chosen by estimated cost."""
-    df = sketch[runs & ((1 << SKETCH_BITS) - 1)]
+    df = sketch[runs & (len(sketch) - 1)]
     order = np.lexsort((runs, df))
     n = len(runs)
     least = int(need(np.int64(n), np.int64(-(-n * s.numerator // s.denominator)), s))  # with the smallest partner
@@ -109,14 +123,20 @@ def _place_type(n: int) -> type:
     return np.uint16 if n < 1 << 16 else np.int32
 
 
-def _postings(sent, s: Fraction, costs: tuple[float, ...]):
+def _postings(sent, s: Fraction, costs: tuple[float, ...], tile_records: int):
     reach = band_of(-(-s.denominator // s.numerator) * 2 - 1)  # bands between a set and its smallest partner
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, blocks = sent.value
+        sketch, splits = sent.value
+        mask = len(sketch) - 1
         seen: set[int] = set()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(5)]
+
+            def put(*row) -> None:
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+
             for same, runs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if same in seen:
                     continue
@@ -126,39 +146,66 @@ def _postings(sent, s: Fraction, costs: tuple[float, ...]):
                 n = len(r)
                 place = np.arange(len(prefix), dtype=_place_type(n))
                 group = (prefix >> 33) & (GROUPS - 1)
-                band = band_of(n)
-                for g in range(GROUPS):
-                    at = np.flatnonzero(group == g)
-                    if not len(at):
-                        continue
-                    toks, places = (prefix[at] & 0xFFFFFFFF).astype(np.uint32).tobytes(), place[at].tobytes()
-                    # smaller partners are compared in their band
-                    for b in range(band, band - reach - 1, -1):
-                        n_blocks = blocks.get(b, 1)
-                        mine = same % n_blocks
-                        for other in range(n_blocks):
-                            tile = min(mine, other) * n_blocks + max(mine, other)
-                            for c, v in zip(cols, (g, b, tile, same, n, k, toks, places), strict=True):
-                                c.append(v)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["grp", "band", "tile", "same", "n", "k", "toks", "places"])
+                hot = sketch[prefix & mask] > tile_records
+                # smaller partners are compared in their band
+                for b in range(band_of(n), max(-1, band_of(n) - reach - 1), -1):
+                    part = group | (((prefix >> 37) & (splits.get(b, 1) - 1)) << 4)
+                    by = np.argsort(part, kind="stable")
+                    starts = np.flatnonzero(np.concatenate([[True], part[by][1:] != part[by][:-1]]))
+                    for at in np.split(by, starts[1:]):
+                        data = (prefix[at] & 0xFFFFFFFF).astype(np.uint32).tobytes() + place[at].tobytes()
+                        cell = b << 56 | int(part[at[0]]) << 28
+                        put(cell, 0, same, n << 8 | k, data)
+                        for h in prefix[at][hot[at]]:
+                            blocks = tiles_of(int(sketch[h & mask]), tile_records)
+                            mine = same % blocks
+                            for other in range(blocks):
+                                put(cell | min(mine, other) * blocks + max(mine, other), int(h & 0xFFFFFFFF) + 1, same, n << 8 | k, data)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["cell", "hot", "same", "nk", "data"])
 
     return prefixes
 
 
-def _count_group(table: pa.Table, s: Fraction, blocks: dict[int, int]) -> pa.Table:
-    """Pairs of a group, band and tile that share enough prefix runs there to be reported."""
-    out = {"a": [], "b": [], "hits": [], "k": []}
-    band, n_blocks = table.column("band")[0].as_py(), blocks.get(table.column("band")[0].as_py(), 1)
-    one, other = divmod(table.column("tile")[0].as_py(), n_blocks)
+def tiles_of(records: int, tile_records: int) -> int:
+    """Blocks of the records of one run."""
+    return -(-records // tile_records)
+
+
+def _least_common(a: frozenset, b: frozenset) -> int:
+    return min(a & b, default=-1)
+
+
+def _count_cell(table: pa.Table, s: Fraction, sent, tile_records: int) -> pa.Table:
+    """Pairs of a cell that share enough prefix runs there to be reported.
+
+    A pair that shares hot runs is counted in the tiles of the least of them, any other in the plain cell.
+    """
+    sketch, splits = sent.value
+    out = {"a": [], "b": [], "hits": [], "k": [], "low": [], "splits": []}
+    cell, tile_run = table.column("cell")[0].as_py(), table.column("hot")[0].as_py() - 1
+    band, tile = cell >> 56, cell & (1 << 28) - 1
+    n_splits = splits.get(band, 1)
+    n_blocks = tiles_of(int(sketch[tile_run & len(sketch) - 1]), tile_records) if tile_run >= 0 else 1
+    one, other = divmod(tile, n_blocks)
     same = table.column("same").to_numpy()
     _, first = np.unique(same, return_index=True)  # a class may come from several tasks
-    same, size, k = same[first], table.column("n").to_numpy()[first].astype(np.int64), table.column("k").to_numpy()[first].astype(np.int64)
-    toks = [np.frombuffer(x, np.uint32) for x in table.column("toks").take(pa.array(first)).to_pylist()]
-    places = [np.frombuffer(x, _place_type(n)) for x, n in zip(table.column("places").take(pa.array(first)).to_pylist(), size, strict=True)]
+    nk = table.column("nk").to_numpy()[first]
+    same, size, k = same[first], nk >> 8, nk & 255
+    toks, places = [], []
+    for x, n in zip(table.column("data").take(pa.array(first)).to_pylist(), size, strict=True):
+        kind = np.dtype(_place_type(n))
+        m = len(x) // (4 + kind.itemsize)
+        toks.append(np.frombuffer(x, np.uint32, m))
+        places.append(np.frombuffer(x, kind, m, 4 * m))
+    hots = [frozenset(t[sketch[t & len(sketch) - 1] > tile_records].tolist()) for t in toks]
+    some_hot = any(hots)
     block = same % n_blocks
     doc = np.repeat(np.arange(len(same)), [len(x) for x in toks])
     tok, place = np.concatenate(toks).astype(np.int64), np.concatenate(places).astype(np.int64)
+    if some_hot and tile_run < 0:  # hot runs match in their own tiles
+        cold = sketch[tok & len(sketch) - 1] <= tile_records
+        doc, tok, place = doc[cold], tok[cold], place[cold]
     n, ext = size[doc], extension(k)[doc]
     order = np.lexsort((doc, n, tok))
     tok, place, doc, n, ext = tok[order], place[order], doc[order], n[order], ext[order]
@@ -166,7 +213,7 @@ def _count_group(table: pa.Table, s: Fraction, blocks: dict[int, int]) -> pa.Tab
     widest = n * s.denominator // s.numerator
     stop = np.searchsorted(key, (tok << 28) | np.minimum(widest, (1 << 28) - 1), side="right")
     # the smaller set of a pair needs its run within the prefix for a partner of its own size or more
-    here = (n >= 1 << max(band, 0)) & (n < 1 << (max(band, 0) + 1)) if band >= 0 else np.zeros(len(n), bool)
+    here = (n >= 1 << band) & (n < 1 << (band + 1))
     small = np.flatnonzero(here & (place < n - need(n, n, s) + ext))
     fan = stop[small] - small - 1
     small, fan = small[fan > 0], fan[fan > 0]
@@ -191,12 +238,16 @@ def _count_group(table: pa.Table, s: Fraction, blocks: dict[int, int]) -> pa.Tab
         pair, hits = np.unique(doc[i][good] * len(same) + doc[j][good], return_counts=True)
         x, y = pair // len(same), pair % len(same)
         kk = np.minimum(k[x], k[y])
-        enough = hits >= reported(kk)
+        enough = hits >= reported(kk, n_splits)
+        if some_hot:
+            enough[enough] = [_least_common(hots[p], hots[q]) == tile_run for p, q in zip(x[enough], y[enough], strict=True)]
         x, y, kk, hits = x[enough], y[enough], kk[enough], hits[enough]
         out["a"].append(np.minimum(same[x], same[y]))
         out["b"].append(np.maximum(same[x], same[y]))
         out["hits"].append(hits)
         out["k"].append(kk)
+        out["low"].append(reported(kk, n_splits) - 1)
+        out["splits"].append(np.full(len(kk), n_splits))
         a = z
     return pa.table({c: pa.array(np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64)) for c, v in out.items()})
 
@@ -204,14 +255,17 @@ def _count_group(table: pa.Table, s: Fraction, blocks: dict[int, int]) -> pa.Tab
 def similar_classes(sets: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs ``a < b`` of different sets (by hash) of at least the similarity; ``sets`` is read several times."""
     spark = sets.sparkSession
-    sizes = {r[0]: r[1] for r in sets.groupBy(F.floor(F.log2(F.size("runs"))).cast("int").alias("band")).agg(F.count("*")).collect()}  # a few dozen bands
-    blocks = {b: -(-(sizes.get(b, 0) + sizes.get(b + 1, 0)) // TILE_RECORDS) or 1 for b in range(-2, max(sizes, default=0) + 2)}
-    sent = spark.sparkContext.broadcast((frequency_sketch(sets), blocks))
-    postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity, COSTS), "grp int, band int, tile int, same long, n int, k int, toks binary, places binary")
-    counted = postings.groupBy("grp", "band", "tile").applyInArrow(lambda t: _count_group(t.combine_chunks(), similarity, blocks), "a long, b long, hits long, k long")
-    sums = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.count("*").alias("groups"), F.max("k").alias("k"))
-    silent = F.greatest(F.lit(1), F.col("k") - 1) - 1  # most matches of a group that did not report
-    pairs = sums.where(F.col("hits") + (GROUPS - F.col("groups")) * silent >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")
+    bands = sets.groupBy(F.floor(F.log2(F.size("runs"))).cast("int").alias("band")).agg(F.sum(F.size("runs")).alias("n")).collect()  # a few dozen
+    runs_in = {r.band: r.n for r in bands}
+    most = GROUPS * CELL_RUNS
+    splits = {b: 1 << max(0, (-(-(runs_in.get(b, 0) + runs_in.get(b + 1, 0)) // most) - 1).bit_length()) for b in range(max(runs_in, default=0) + 1)}
+    tile_records = TILE_RECORDS
+    sent = spark.sparkContext.broadcast((frequency_sketch(sets, sum(runs_in.values())), splits))
+    postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity, COSTS, tile_records), "cell long, hot long, same long, nk long, data binary")
+    counted = postings.groupBy("cell", "hot").applyInArrow(lambda t: _count_cell(t.combine_chunks(), similarity, sent, tile_records), "a long, b long, hits long, k long, low long, splits long")
+    sums = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.count("*").alias("cells"), F.max("k").alias("k"), F.max("low").alias("low"), F.max("splits").alias("splits"))
+    # what cells that did not report may hold counts as if they held it
+    pairs = sums.where(F.col("hits") + (GROUPS * F.col("splits") - F.col("cells")) * F.col("low") >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")
     q = similarity / (1 + similarity)
     # one row per class, placed by class once for both joins
     runs = sets.groupBy("same").agg(F.first("runs").alias("runs"))

@@ -51,14 +51,37 @@ def test_every_length_of_prefix_is_complete(spark, monkeypatch):
         assert set(tuples(nd.pairs_of(*nd.near_duplicates(df, "key", None, "body", 3, Fraction(1, 2))))) == want
 
 
-def test_tiles_of_large_bands(spark, monkeypatch):
-    monkeypatch.setattr(nd, "TILE_RECORDS", 25)
-    for s in (Fraction(1, 2), Fraction(1, 3)):
+@pytest.mark.parametrize("cell_runs,tile_records", [(20, 10**9), (100, 100), (10, 10), (10**9, 10)])
+def test_crowded_cells_and_hot_runs(spark, monkeypatch, cell_runs, tile_records):
+    monkeypatch.setattr(nd, "CELL_RUNS", cell_runs)
+    monkeypatch.setattr(nd, "TILE_RECORDS", tile_records)
+    for s, costs in ((Fraction(1, 2), nd.COSTS), (Fraction(1, 3), (0.0, 0.0, 0.0)), (Fraction(1, 2), (0.0, 5.0, 50.0))):
+        monkeypatch.setattr(nd, "COSTS", costs)
         rows = corpus(150, 9)
         df = spark.createDataFrame(rows, "key string, body string")
         assert set(tuples(nd.pairs_of(*nd.near_duplicates(df, "key", None, "body", 3, s)))) == brute(rows, 3, s)
 
 
+def test_postings_of_a_record_do_not_grow_with_the_collection():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    sets = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([np.sort(r.integers(0, 2**62, 120)).tolist() for _ in range(200)])], names=["same", "runs"])
+
+    class Sent:
+        def __init__(self, splits):
+            self.value = np.ones(1 << nd.SKETCH_BITS, np.int32), splits
+
+    def written(splits):
+        out = pa.Table.from_batches(nd._postings(Sent(splits), Fraction(1, 2), nd.COSTS, nd.TILE_RECORDS)([sets]))
+        return sum(len(x) // 6 for x in out.column("data").to_pylist()), out.num_rows
+
+    few, many, most = written({}), written({5: 64, 6: 64}), written({5: 4096, 6: 4096})
+    assert few[0] == many[0] == most[0]  # every run once per band
+    assert most[1] <= most[0] and few[1] <= 2 * nd.GROUPS * 200
+
+
 def test_copies_of_a_third_and_groups(spark):
     base = "one two three four five six seven eight nine ten"
     rows = [(f"c{i:03d}", base) for i in range(90)] + [("d1", base + " eleven"), ("x", "quite another text with other words in it"), ("e", None), ("f", " "), ("g", "a b"), (None, base)]
