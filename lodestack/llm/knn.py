@@ -5,6 +5,11 @@ learns to tell a vector's part. Every vector is routed to its several most proba
 and a query; there the candidates are reranked by exact cosine. Two vectors are compared if their parts overlap, so
 a vector near a border is found from either side. Exact copies of a vector are collapsed to one before the search
 and joined again behind it.
+
+Parts hold ``PART_ROWS`` vectors whatever the collection's size: where one classifier would have more than
+``MAX_BRANCH`` parts, classifiers form a tree, in which each node is fitted on a bounded sample of its own vectors, in
+one task per node. The upper levels are broadcast (at most ``MAX_BRANCH ** 2`` parts); the last one is broadcast within
+``ROUTER_BYTES`` and otherwise sent to the rows of its nodes by a shuffle.
 """
 
 from __future__ import annotations
@@ -22,11 +27,19 @@ DIM, TOP = 384, 5
 MAX_SAMPLE = 12_000
 #: Vectors a part should hold; parts are added as the collection grows.
 PART_ROWS = 5_000
-MAX_PARTS = 2_048
+#: Parts of one classifier.
+MAX_BRANCH = 128
+#: Bytes of the last level's classifiers up to which they are broadcast.
+ROUTER_BYTES = 64 * 1024 * 1024
+#: Share of the probability at which one node is enough on the way down.
+NODE_COVER = 0.9
 #: Parts a vector goes to: at least and at most, and the probability they should cover.
 MIN_PROBES, MAX_PROBES, COVER = 2, 3, 0.6
-#: Index rows that one task searches at a time; larger parts are searched in blocks of this size.
+#: Index rows that one task searches at a time; larger parts are searched in blocks of this size, and their queries in
+#: blocks of four times as many.
 BLOCK_ROWS = 40_000
+#: Rows of a node that one task routes where the last level is not broadcast.
+ROUTED_ROWS = 50_000
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -123,28 +136,110 @@ class Router:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def route(self, x: np.ndarray, probes: int, cover: float) -> tuple[np.ndarray, np.ndarray]:
-        """The most probable parts of every row, best first, and which of them are to be visited."""
-        p = self._softmax(x @ self.w + self.b)
-        probes = min(probes, p.shape[1])
-        top = np.argpartition(-p, probes - 1, axis=1)[:, :probes]
-        ptop = np.take_along_axis(p, top, axis=1)
-        order = np.argsort(-ptop, axis=1, kind="stable")
-        top, ptop = np.take_along_axis(top, order, axis=1), np.take_along_axis(ptop, order, axis=1)
-        before = np.cumsum(ptop, axis=1) - ptop
-        visit = before < cover
-        visit[:, :MIN_PROBES] = True
-        return top, visit
-
-
-def fit_router(x: np.ndarray, n_rows: int, part_rows: int = PART_ROWS, seed: int = 11) -> Router:
-    """Router for a collection of ``n_rows`` vectors from a sample of unit rows."""
+    def balance(self, x: np.ndarray, rounds: int = 40) -> Router:
+        """Prices in place of biases: crowded parts grow dearer until every part is visited about equally often."""
+        z = x @ self.w + self.b
+        n_parts = z.shape[1]
+        probes = min(MIN_PROBES, n_parts)
+        even = max(1.0, len(x) * probes / n_parts)
+        for i in range(rounds):
+            top = np.argpartition(-z, probes - 1, axis=1)[:, :probes]
+            load = np.bincount(top.ravel(), minlength=n_parts) / even
+            step = (0.5 / (1 + 0.1 * i) * np.log(np.maximum(load, 0.2))).astype(np.float32)
+            z -= step
+            self.b = self.b - step
+        return self
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return self._softmax(x @ self.w + self.b)
+
+    def packed(self) -> tuple[bytes, bytes]:
+        return self.w.astype(np.float16).tobytes(), self.b.astype(np.float32).tobytes()
+
+    @classmethod
+    def unpacked(cls, w: bytes, b: bytes) -> Router:
+        out = cls.__new__(cls)
+        out.b = np.frombuffer(b, np.float32)
+        out.w = np.frombuffer(w, np.float16).reshape(-1, len(out.b)).astype(np.float32)
+        return out
+
+
+def whole_part(dim: int) -> Router:
+    """A router of one part."""
+    return Router.unpacked(np.zeros(dim, np.float16).tobytes(), np.zeros(1, np.float32).tobytes())
+
+
+def best_parts(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` most probable parts of every row, best first, with their probabilities."""
+    k = min(k, p.shape[1])
+    top = np.argpartition(-p, k - 1, axis=1)[:, :k]
+    ptop = np.take_along_axis(p, top, axis=1)
+    order = np.argsort(-ptop, axis=1, kind="stable")
+    return np.take_along_axis(top, order, axis=1), np.take_along_axis(ptop, order, axis=1)
+
+
+def fit_router(x: np.ndarray, n_parts: int, seed: int = 11) -> Router:
+    """Router of a sample of unit rows into balanced parts; never more parts than an eighth of the rows."""
     rng = np.random.default_rng(seed)
-    n_parts = int(min(MAX_PARTS, max(1, round(n_rows / part_rows)), max(1, len(x) // 8)))
-    if n_parts == 1:
+    n_parts = int(min(n_parts, max(1, len(x) // 8)))
+    if n_parts <= 1:
         return Router(x, np.zeros(len(x), dtype=np.int64), 1, rng, epochs=0)
     label = balanced_parts(x, neighbour_graph(x, 10), n_parts, rng)
-    return Router(x, label, n_parts, rng)
+    return Router(x, label, int(label.max()) + 1, rng).balance(x)
+
+
+def shape_of(n_rows: int, part_rows: int) -> tuple[int, int]:
+    """Levels of the tree and parts of each node for a collection's size."""
+    n_parts = max(1, round(n_rows / part_rows))
+    levels = 1
+    while MAX_BRANCH**levels < n_parts:
+        levels += 1
+    return levels, int(np.ceil(n_parts ** (1 / levels) - 1e-9))
+
+
+class Tree:
+    """Routers by node, level by level. A node's children are ``node * stride + part``; those of the last level are leaves."""
+
+    def __init__(self, stride: int):
+        self.stride = stride
+        self.levels: list[dict[int, Router]] = []
+        self.rows: list[dict[int, float]] = [{0: 1.0}]  # share of all rows that visit a node
+
+    def down(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes below all levels present but one place to stop: rows, nodes, whether first choice, whether only choice."""
+        at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        first, alone = np.ones(len(x), bool), np.ones(len(x), bool)
+        for level in self.levels:
+            parts = []
+            for n, rows in _grouped(node):
+                router = level[n]
+                top, p = best_parts(router.probabilities(x[at[rows]]), 2)
+                # of a second choice only the best child is followed, of a first and only one both unless one is enough
+                two = (first[rows] & alone[rows] & (p[:, 0] < NODE_COVER)) if top.shape[1] > 1 else np.zeros(len(rows), bool)
+                parts.append((at[rows], n * self.stride + top[:, 0], first[rows], alone[rows] & ~two))
+                if two.any():
+                    parts.append((at[rows][two], n * self.stride + top[two, 1], np.zeros(two.sum(), bool), np.zeros(two.sum(), bool)))
+            at, node, first, alone = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return at, node, first, alone
+
+
+def _grouped(node: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(node, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]])) if len(node) else np.empty(0, np.int64)
+    for rows in np.split(order, starts[1:]) if len(node) else ():
+        yield int(node[rows[0]]), rows
+
+
+def leaves_of(router: Router, x: np.ndarray, first: np.ndarray, alone: np.ndarray, probes: int, cover: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of the last level to be visited: (rows, parts). In its first node a row visits two parts, three where it is
+    the only node and two do not cover enough; in its second node one."""
+    top, p = best_parts(router.probabilities(x), probes)
+    before = np.cumsum(p, axis=1) - p
+    visit = (before < cover) & alone[:, None]
+    visit[:, :MIN_PROBES] = first[:, None]
+    visit[:, 0] = True
+    r, c = np.nonzero(visit)
+    return r, top[r, c]
 
 
 def _pack(x: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -175,11 +270,28 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame
     return vectors.select(F.col(id_col).cast("string").alias("id"), v.cast("array<float>").alias("vec")).where(F.col("id").isNotNull() & (F.size(v) == dim) & ~bad & some)
 
 
-def _splits(router: Router, x: np.ndarray, n: int, probes: int, cover: float) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks per part of index rows and of queries, from the sample's shares; 1 but for parts far above the usual size."""
-    top, visit = router.route(x, probes, cover)
-    blocks = np.maximum(1, np.ceil(np.bincount(top[visit], minlength=len(router.b)) / len(x) * n / BLOCK_ROWS)).astype(int)
-    return blocks, blocks
+def blocks_of(load: float) -> tuple[int, int]:
+    """Blocks of index rows and of queries of a part; 1 but for parts far above the usual size."""
+    return max(1, int(np.ceil(load / BLOCK_ROWS))), max(1, int(np.ceil(load / (4 * BLOCK_ROWS))))
+
+
+def _tiles(h: np.ndarray, leaf: np.ndarray, blocks: dict[int, tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """Rows, tiles, and whether a row is indexed and asks there; rows of a part of one block have one tile."""
+    at, tile, own, ask = [np.arange(len(h))], [np.zeros(len(h), np.int64)], [np.ones(len(h), bool)], [np.ones(len(h), bool)]
+    large = np.isin(leaf, list(blocks)) if blocks else np.zeros(len(h), bool)
+    if large.any():
+        at, tile, own, ask = ([c[0][~large]] for c in (at, tile, own, ask))
+        for n, rows in _grouped(leaf[large]):
+            rows = np.flatnonzero(large)[rows]
+            b, q = blocks[n]
+            mine, my_ask = h[rows] % b, (h[rows] >> 20) % q
+            for s in range(b):
+                for a in range(q):
+                    is_own, is_ask = mine == s, my_ask == a
+                    here = is_own | is_ask
+                    for col, val in ((at, rows[here]), (tile, np.full(here.sum(), s * q + a)), (own, is_own[here]), (ask, is_ask[here])):
+                        col.append(val)
+    return tuple(np.concatenate(c) for c in (at, tile, own, ask))
 
 
 def _search(same: np.ndarray, own: np.ndarray, ask: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,6 +319,74 @@ def _search(same: np.ndarray, own: np.ndarray, ask: np.ndarray, vec: np.ndarray,
     return queries, best_i, best_s
 
 
+def _sample(rows: DataFrame, n: int, most: float, salt: int) -> DataFrame:
+    """About ``most`` of ``n`` rows' distinct vectors, by their hash."""
+    share = min(1.0, most / n)
+    return rows.where(F.pmod(F.xxhash64("same", F.lit(salt)), F.lit(1_000_003)) < share * 1_000_003).groupBy("same").agg(F.first("vec").alias("vec"))
+
+
+def _models(rows: DataFrame, n: int, tree: Tree, dim: int, max_sample: int, part_rows: int) -> DataFrame:
+    """``node, w, b, loads`` of the level below the tree's: every node fitted on a bounded sample of the rows that visit it."""
+    depth, nodes = len(tree.levels), tree.rows[-1]
+    picked = _sample(rows, n, max_sample * len(nodes) / 2, depth)
+    sent = rows.sparkSession.sparkContext.broadcast(tree)
+    visits = sum(nodes.values())
+    levels, branch = shape_of(n, part_rows)
+    last = depth + 1 == levels
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at, node, _, _ = sent.value.down(unit_rows(_vectors(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["node", "same", "vec"])
+
+    def fit(group: pa.Table) -> pa.Table:
+        node = group.column("node")[0].as_py()
+        x = unit_rows(_vectors(group.column("vec").combine_chunks()))
+        order = np.argsort(group.column("same").to_numpy(), kind="stable")[:max_sample]
+        x = x[order]
+        share = nodes.get(node, 1 / len(nodes))
+        # a node's parts follow its share of the rows
+        router = fit_router(x, int(max(1, min(tree.stride - 1, np.ceil(branch * share * len(nodes) / visits)))))
+        top, _ = best_parts(router.probabilities(x), MIN_PROBES)
+        load = np.bincount(top.ravel(), minlength=len(router.b)) / max(1, len(x)) * share * (n if last else 1)
+        w, b = router.packed()
+        return pa.table({"node": pa.array([node], pa.int64()), "w": pa.array([w], pa.binary()), "b": pa.array([b], pa.binary()), "loads": pa.array([load.tolist()], pa.list_(pa.float64()))})
+
+    return picked.select("same", "vec").mapInArrow(place, "node long, same long, vec array<float>").groupBy("node").applyInArrow(fit, "node long, w binary, b binary, loads array<double>")
+
+
+def fit_tree(rows: DataFrame, n: int, dim: int, max_sample: int, part_rows: int) -> tuple[Tree, dict[int, Router] | None, dict[int, tuple[int, int]]]:
+    """The upper levels, the last level (None where it is too large to be sent), and the parts that need blocks."""
+    levels, branch = shape_of(n, part_rows)
+    tree = Tree(2 * branch + 2)
+    sample = _sample(rows, n, max_sample, 0).select("vec").toArrow().column("vec").combine_chunks()
+    x = unit_rows(_vectors(sample) if len(sample) > 1 else np.random.default_rng(0).normal(size=(2, dim)).astype(np.float32))
+    root = fit_router(x, branch)
+    top, _ = best_parts(root.probabilities(x), MIN_PROBES)
+    share = np.bincount(top.ravel(), minlength=len(root.b)) / len(x)
+    if levels == 1:
+        return tree, {0: root}, {i: blocks_of(s * n) for i, s in enumerate(share) if s * n > BLOCK_ROWS}
+    tree.levels.append({0: root})
+    tree.rows.append({i: max(s, 1 / len(x)) for i, s in enumerate(share)})
+    for depth in range(1, levels):
+        last = depth + 1 == levels
+        if last and int(branch**levels) * dim * 2 > ROUTER_BYTES:
+            return tree, None, {}
+        routers, loads = {}, {}
+        for r in _models(rows, n, tree, dim, max_sample, part_rows).collect():  # bounded by MAX_BRANCH ** 2 parts or ROUTER_BYTES
+            routers[r.node] = Router.unpacked(r.w, r.b)
+            loads |= {r.node * tree.stride + i: v for i, v in enumerate(r.loads)}
+        empty = [k for k in tree.rows[-1] if k not in routers]  # nodes without a sample have one part
+        routers |= {k: whole_part(dim) for k in empty}
+        loads |= {k * tree.stride: 0.0 for k in empty}
+        if last:
+            return tree, routers, {k: blocks_of(v) for k, v in loads.items() if v > BLOCK_ROWS}
+        tree.levels.append(routers)
+        tree.rows.append({k: max(v, 1e-12) for k, v in loads.items()})
+    raise AssertionError("unreachable")
+
+
 def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dense", dim: int = DIM, k: int = TOP, max_sample: int = MAX_SAMPLE, part_rows: int = PART_ROWS, probes: int = MAX_PROBES, cover: float = COVER) -> DataFrame:
     """The ``k`` nearest other ids of every id by cosine, approximately.
 
@@ -222,49 +402,78 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
     n = rows.count()
     if n < 2:
         return spark.createDataFrame([], "id string, neighbour_id string, cosine double, rank int")
-    share = min(1.0, max_sample / n)
-    picked = rows.where(F.pmod(F.col("same"), F.lit(1_000_003)) < share * 1_000_003).groupBy("same").agg(F.first("vec").alias("vec")).select("vec")
-    sample = picked.toArrow().column("vec").combine_chunks()
-    x = _vectors(sample) if len(sample) > 1 else np.random.default_rng(0).normal(size=(2, dim)).astype(np.float32)
-    x = unit_rows(x)
-    router = fit_router(x, n, part_rows)
-    sent = spark.sparkContext.broadcast((router, *_splits(router, x, n, probes, cover)))
-    n_parts = len(router.b)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        router, splits, asks = sent.value
-        seen: set[int] = set()
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            new = [i for i, h in enumerate(keys) if h not in seen and not seen.add(h)]
-            if not new:
-                continue
-            take = pa.array(new)
-            q, packed = _pack(_vectors(batch.column(1).take(take)))
-            h = batch.column(0).take(take).to_numpy()
-            top, visit = router.route(unit_rows(q.astype(np.float32)), probes, cover)
-            at, part, block, own, ask = [], [], [], [], []
-            r, c = np.nonzero(visit)
-            plain = (splits[top[r, c]] == 1) & (asks[top[r, c]] == 1)
-            at.append(r[plain])
-            part.append(top[r, c][plain])
-            block.append(np.zeros(plain.sum(), np.int64))
-            own.append(np.ones(plain.sum(), bool))
-            ask.append(np.ones(plain.sum(), bool))
-            for i, j in zip(r[~plain], c[~plain], strict=True):  # a large part: tiles of index blocks and query blocks
-                p = top[i, j]
-                mine, my_ask = int(h[i] % splits[p]), int((h[i] >> 20) % asks[p])
-                for s in range(splits[p]):
-                    for a in range(asks[p]):
-                        is_own, is_ask = s == mine, a == my_ask
-                        if is_own or is_ask:
-                            for col, val in ((at, i), (part, p), (block, s * asks[p] + a), (own, is_own), (ask, is_ask)):
-                                col.append(np.array([val]))
-            at = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(part).astype(np.int32)), pa.array(np.concatenate(block).astype(np.int32)), pa.array(np.concatenate(own)), pa.array(np.concatenate(ask)), pa.array(h).take(at), packed.take(at)],
-                names=["part", "block", "own", "ask", "same", "vec"],
-            )
+    tree, last, blocks = fit_tree(rows, n, dim, max_sample, part_rows)
+    schema = "part long, block int, own boolean, ask boolean, same long, vec binary"
+
+    def routed_batch(router: Router, node: int, x: np.ndarray, h: np.ndarray, first: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
+        r, part = leaves_of(router, x, first, alone, probes, cover)
+        leaf = node * tree.stride + part
+        at, tile, own, ask = _tiles(h[r], leaf, blocks)
+        return r[at], leaf[at], tile, own, ask
+
+    def emit(parts: list[tuple[np.ndarray, ...]], h: np.ndarray, packed: pa.Array) -> pa.RecordBatch:
+        at, leaf, tile, own, ask = (np.concatenate(c) for c in zip(*parts, strict=True))
+        at = pa.array(at)
+        return pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(tile.astype(np.int32)), pa.array(own), pa.array(ask), pa.array(h).take(at), packed.take(at)], names=["part", "block", "own", "ask", "same", "vec"])
+
+    def news(batch: pa.RecordBatch, seen: set[int]) -> pa.Array | None:
+        new = [i for i, h in enumerate(batch.column(0).to_pylist()) if h not in seen and not seen.add(h)]
+        return pa.array(new) if new else None
+
+    distinct = rows.select("same", "vec")
+    if last is not None:  # the last level is small enough for every task
+        sent = spark.sparkContext.broadcast((tree, last))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            upper, routers = sent.value
+            seen: set[int] = set()
+            for batch in batches:
+                take = news(batch, seen)
+                if take is None:
+                    continue
+                q, packed = _pack(_vectors(batch.column(1).take(take)))
+                h, x = batch.column(0).take(take).to_numpy(), unit_rows(q.astype(np.float32))
+                at, node, first, alone = upper.down(x)
+                parts = []
+                for m, k in _grouped(node):
+                    r, *more = routed_batch(routers[m], m, x[at[k]], h[at[k]], first[k], alone[k])
+                    parts.append((at[k][r], *more))
+                yield emit(parts, h, packed)
+
+        routed = distinct.mapInArrow(route, schema)
+    else:
+        sent = spark.sparkContext.broadcast(tree)
+        left_out = pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "own": pa.array([], pa.bool_()), "ask": pa.array([], pa.bool_()), "same": pa.array([], pa.int64()), "vec": pa.array([], pa.binary())})
+        salts = max(1, -(-2 * n // (len(tree.rows[-1]) * ROUTED_ROWS)))
+
+        def to_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                take = news(batch, seen)
+                if take is None:
+                    continue
+                q, packed = _pack(_vectors(batch.column(1).take(take)))
+                h = batch.column(0).take(take).to_numpy()
+                at, node, first, alone = sent.value.down(unit_rows(q.astype(np.float32)))
+                rows_at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array((h[at] >> 30) % salts), pa.array(first), pa.array(alone), pa.array(h).take(rows_at), packed.take(rows_at)], names=["node", "salt", "first", "alone", "same", "vec"])
+
+        def in_node(_, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return left_out
+            left = left.combine_chunks()
+            h, packed = left.column("same").to_numpy(), left.column("vec").chunk(0)
+            # a node without a sample is one part
+            router = Router.unpacked(right.column("w")[0].as_py(), right.column("b")[0].as_py()) if right.num_rows else whole_part(dim)
+            flags = (left.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "alone"))
+            return pa.Table.from_batches([emit([routed_batch(router, left.column("node")[0].as_py(), _unpack(packed, dim), h, *flags)], h, packed)])
+
+        placed = distinct.mapInArrow(to_nodes, "node long, salt long, first boolean, alone boolean, same long, vec binary")
+        models = _models(rows, n, tree, dim, max_sample, part_rows).select("node", "w", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+        routed = placed.groupBy("node", "salt").cogroup(models.groupBy("node", "salt")).applyInArrow(in_node, schema)
+    n_leaves = max(1, round(n / part_rows))
+    tasks = min(n_leaves, max(2_000, 3 * n * dim * 2 // (64 << 20)))
+    routed = routed.repartition(max(tasks, min(n_leaves, spark.sparkContext.defaultParallelism)), "part", "block")
 
     def search(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -283,7 +492,6 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
             "score": pa.ListArray.from_arrays(pa.array(counts), pa.array(score[rows_, cols_])),
         })
 
-    routed = rows.select("same", "vec").mapInArrow(route, "part int, block int, own boolean, ask boolean, same long, vec binary")
     found = routed.groupBy("part", "block").applyInArrow(lambda t: search(t), "same long, near array<long>, score array<float>")
     hits = F.flatten(F.collect_list(F.transform(F.arrays_zip("near", "score"), lambda y: F.struct((-y["score"].cast("double")).alias("far"), y["near"].alias("near")))))
     merged = found.groupBy("same").agg(F.slice(F.array_sort(F.array_distinct(hits)), 1, k).alias("hits"))

@@ -34,6 +34,31 @@ def test_recall_over_many_parts(spark):
     assert hit / want.size >= 0.9 and all(len(v) == 5 for v in mine.values())
 
 
+def test_tree_of_routers(spark, monkeypatch):
+    x = clusters(2400).astype(np.float32)
+    want = exact(x, 5)
+    for branch, room in ((4, knn.ROUTER_BYTES), (4, 0), (2, knn.ROUTER_BYTES), (2, 0)):
+        monkeypatch.setattr(knn, "MAX_BRANCH", branch)
+        monkeypatch.setattr(knn, "ROUTER_BYTES", room)
+        monkeypatch.setattr(knn, "ROUTED_ROWS", 300)
+        mine = {}
+        for r in knn.nearest_vectors(frame(spark, x).repartition(4), dim=16, k=5, part_rows=200, max_sample=600).collect():
+            mine.setdefault(r.id, set()).add(r.neighbour_id)
+        hit = sum(f"v{j:05d}" in mine.get(f"v{i:05d}", ()) for i in range(len(x)) for j in want[i])
+        assert len(mine) == len(x) and hit / want.size >= 0.85, (branch, room, hit / want.size)
+
+
+def test_parts_grow_with_the_collection_and_are_balanced():
+    for n in (10**5, 4 * 10**7, 10**11):
+        levels, branch = knn.shape_of(n, 5_000)
+        assert branch <= knn.MAX_BRANCH and n / 5_000 <= branch**levels * 1.01
+    x = knn.unit_rows(clusters(6000).astype(np.float32))
+    x[:2000] = knn.unit_rows(x[:1] + 0.3 * np.random.default_rng(0).normal(size=(2000, 16)).astype(np.float32))  # a third in one place
+    top, _ = knn.best_parts(knn.fit_router(x, 40).probabilities(x), knn.MIN_PROBES)
+    load = np.bincount(top.ravel(), minlength=40)
+    assert load.max() <= 2 * load.mean()
+
+
 def test_one_part_is_exact_and_ranked(spark):
     x = clusters(160).astype(np.float32)
     got = {}
