@@ -1,8 +1,9 @@
 """References to records that do not exist: skew-aware orphan detection.
 
-References are pre-aggregated per key and period. Keys that hold more than ``heavy_share`` of all
-references are heavy; there are at most ``1 / heavy_share`` of them, so their verdicts have a proven
-size and are broadcast. All other keys go through one shuffle join. Both parts are united.
+References are pre-aggregated per key and period, and the counts are judged. Keys that hold more than ``heavy_share``
+of all references are heavy; there are at most ``1 / heavy_share`` of them, so their states have a proven size and are
+broadcast. The counts of all other keys go through one shuffle join. Both parts are united: as counts in the report,
+and as references, looked up again by their counts, where the references themselves are asked for.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.runtime import cut_lineage
+
 HEAVY_SHARE = 0.001
 
 #: Fixed values of the wiki: base address of internal links.
@@ -55,38 +58,95 @@ def page_states(pages: DataFrame) -> DataFrame:
     )
 
 
+def distinct_references(refs: DataFrame) -> DataFrame:
+    """Each reference once per key, target and month, with its earliest time in the month; null targets are left out.
+
+    The grouping holds the record's own key, so no key of the targets is hot here.
+    """
+    month = F.date_format("ref_time", "yyyy-MM").alias("ref_month")
+    return refs.where(F.col("target_page_id").isNotNull()).groupBy("ref_table", "ref_field", "ref_key", "target_page_id", month).agg(F.min("ref_time").alias("ref_time"))
+
+
+def reference_counts(distinct: DataFrame) -> DataFrame:
+    """References per table, field, target and month: ``n``, and the earliest and latest time. Combined before the shuffle."""
+    return distinct.groupBy("ref_table", "ref_field", "target_page_id", "ref_month").agg(F.count("*").alias("n"), F.min("ref_time").alias("lo"), F.max("ref_time").alias("hi"))
+
+
+def _reason(first, last):
+    """Verdict on the references between two times: missing, deleted, late, or ``some`` where only a part of them is late."""
+    return (
+        F.when(F.col("removed").isNull(), F.lit("missing"))
+        .when(F.col("removed"), F.lit("deleted"))
+        .when(F.col("first_synced") > last, F.lit("late"))
+        .when(F.col("first_synced") > first, F.lit("some"))
+    )
+
+
+def judged_counts(counts: DataFrame, states: DataFrame, heavy_share: float = HEAVY_SHARE) -> tuple[DataFrame, DataFrame]:
+    """The counts of targets that are missing, removed or synced later, with the ``reason``: those of heavy targets, and the rest.
+
+    A target is heavy that holds more than ``heavy_share`` of all references; there are at most ``1 / heavy_share``
+    of them, so they and their states are broadcast. The counts of all others take one shuffle join.
+    """
+    per_key = counts.groupBy("target_page_id").agg(F.sum("n").alias("total_n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    heavy = per_key.crossJoin(F.broadcast(total)).where(F.col("total_n") > F.col("total") * heavy_share).select("target_page_id")
+    heavy_states = heavy.join(states, "target_page_id", "left").select("target_page_id", "removed", "first_synced", F.lit(True).alias("heavy"))
+    marked = counts.join(F.broadcast(heavy_states), "target_page_id", "left")
+    cols = [*counts.columns, "removed", "first_synced"]
+    of_heavy = marked.where("heavy").select(*cols)
+    rest = marked.where("heavy IS NULL").select(*counts.columns).join(states.hint("shuffle_hash"), "target_page_id", "left").select(*cols)
+    reason = _reason(F.col("lo"), F.col("hi")).alias("reason")
+    return tuple(part.select(*cols, reason).where(F.col("reason").isNotNull()) for part in (of_heavy, rest))
+
+
+def _judge(refs: DataFrame, states: DataFrame, heavy_share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct references and judged counts of both kinds, each written once, as several branches read them."""
+    filled = refs.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("ref_table", "ref_field", "ref_key")), "target_page_id", "ref_time")
+    distinct = cut_lineage(distinct_references(filled))
+    of_heavy, rest = judged_counts(cut_lineage(reference_counts(distinct)), states, heavy_share)
+    return distinct, cut_lineage(of_heavy), cut_lineage(rest)
+
+
+def _expand(distinct: DataFrame, of_heavy: DataFrame, rest: DataFrame) -> DataFrame:
+    """The references to judged targets: those to heavy ones by broadcast, the rest by one shuffle join."""
+
+    def part(judged: DataFrame, heavy: bool) -> DataFrame:
+        targets = judged.select("target_page_id", "removed", "first_synced").distinct()
+        found = distinct.join(F.broadcast(targets) if heavy else targets.hint("merge"), "target_page_id")
+        reason = _reason(F.col("ref_time"), F.col("ref_time")).alias("reason")
+        return found.select("ref_table", "ref_field", "ref_key", "target_page_id", reason, "ref_month").where(F.col("reason").isNotNull())
+
+    return part(of_heavy, True).unionByName(part(rest, False))
+
+
 def orphan_references(refs: DataFrame, states: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """References whose target is missing, removed or synced only later.
 
     ``refs``: ``ref_table, ref_field, ref_key, target_page_id, ref_time`` (other columns are ignored); a null
-    target is no reference. ``states``: as of ``page_states``. Result: the first four columns, ``reason`` and
+    target is no reference, a null table, field or key counts as the empty text. ``states``: as of ``page_states``. Result: the first four columns, ``reason`` and
     ``ref_month`` (null where the time is), without repeated rows. A reference without time is never late.
+
+    Counts per key and period are judged first; only the references behind a verdict are looked up again.
     """
-    cols = ["ref_table", "ref_field", "ref_key", "target_page_id", "ref_time"]
-    refs = refs.select(*cols).where(F.col("target_page_id").isNotNull())
-    month = F.date_format("ref_time", "yyyy-MM")
-    per_key = refs.groupBy("target_page_id", month.alias("ref_month")).agg(F.count("*").alias("n")).groupBy("target_page_id").agg(F.sum("n").alias("n"))
-    total = per_key.agg(F.sum("n").alias("total"))
-    # at most 1 / heavy_share keys can hold more than that share of all references
-    heavy = per_key.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("total") * heavy_share).select("target_page_id")
-    heavy_states = heavy.join(states, "target_page_id", "left").select("target_page_id", "removed", "first_synced", F.lit(True).alias("heavy"))
-    marked = refs.join(F.broadcast(heavy_states), "target_page_id", "left")
-    of_heavy = marked.where(F.col("heavy"))
-    rest = marked.where(F.col("heavy").isNull()).select(*cols)
-    rest = rest.join(states.hint("shuffle_hash"), "target_page_id", "left")
-    reason = (
-        F.when(F.col("removed").isNull(), F.lit("missing"))
-        .when(F.col("removed"), F.lit("deleted"))
-        .when(F.col("first_synced") > F.col("ref_time"), F.lit("late"))
-    )
-    out = [*cols[:4], reason.alias("reason"), month.alias("ref_month")]
-    both = of_heavy.select(*out).unionByName(rest.select(*out))
-    return both.where(F.col("reason").isNotNull()).distinct()
+    return _expand(*_judge(refs, states, heavy_share))
+
 
+def orphan_report(refs: DataFrame, states: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """Orphan references per table, field, reason and month: the united counts of heavy and other targets.
 
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """Orphan references per table, field, reason and month."""
-    return orphans.groupBy("ref_table", "ref_field", "reason", "ref_month").agg(F.count("*").alias("n_orphans"))
+    Only months in which a page was first synced hold late and other references side by side; there the references
+    themselves are counted.
+    """
+    distinct, of_heavy, rest = _judge(refs, states, heavy_share)
+    cols = ["ref_table", "ref_field", "target_page_id", "ref_month"]
+    judged = of_heavy.unionByName(rest)
+    whole = judged.where("reason <> 'some'").select("ref_table", "ref_field", "reason", "ref_month", "n")
+    some = _expand(distinct, *(v.where("reason = 'some'") for v in (of_heavy, rest))).where("reason = 'late'")
+    counted = some.groupBy(*cols).agg(F.count("*").alias("n"))
+    # a target may have whole months beside one of which a part is late
+    part = counted.join(judged.where("reason = 'some'").select(*cols), cols, "left_semi").select("ref_table", "ref_field", F.lit("late").alias("reason"), "ref_month", "n")
+    return whole.unionByName(part).groupBy("ref_table", "ref_field", "reason", "ref_month").agg(F.sum("n").alias("n_orphans"))
 
 
 def wiki_references(pages: DataFrame, chunks: DataFrame, page_links: DataFrame, base: str = WIKI_BASE) -> DataFrame:

@@ -9,12 +9,16 @@ from lodestack.runtime import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, chunks, links = (table(spark, sf_dir, n) for n in ("pages", "chunks", "page_links"))
-    return orphan_references(wiki_references(pages, chunks, links), page_states(pages))
+    return orphan_references(*_inputs(spark, sf_dir))
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_report(p2_found(spark, sf_dir))
+    return orphan_report(*_inputs(spark, sf_dir))
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    pages, chunks, links = (table(spark, sf_dir, n) for n in ("pages", "chunks", "page_links"))
+    return wiki_references(pages, chunks, links), page_states(pages)
 
 
 QUERIES = {"p2_found": p2_found, "p2_report": p2_report}

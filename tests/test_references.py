@@ -34,11 +34,20 @@ def test_reasons_and_report(spark):
     for share in (0.001, 0.3, 2.0):  # all keys heavy, some, none
         got = refs.orphan_references(df, states(spark), share)
         assert tuples(got, "ref_key", "reason", "ref_month") == want
-    assert sorted(r.n_orphans for r in refs.orphan_report(got).collect()) == [1, 1, 1, 1]
+        assert tuples(refs.orphan_report(df, states(spark), share), "reason", "ref_month", "n_orphans") == [("deleted", "2024-02", 1), ("late", "2024-02", 1), ("missing", "2024-02", 1), ("missing", None, 1)]
     assert refs.orphan_references(df.where("false"), states(spark)).count() == 0
     assert refs.orphan_references(df, states(spark).where("false")).count() == 6
 
 
+def test_months_of_which_a_part_is_late(spark):
+    rows = [("t", "f", str(i), "3", datetime(2024, m, d)) for i, (m, d) in enumerate([(5, 1), (5, 30), (6, 1), (6, 2), (7, 1)])] + [("t", "f", "5", "3", datetime(2024, 5, 31)), ("t", "f", "5", "3", datetime(2024, 5, 1)), ("t", None, None, "3", datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "ref_table string, ref_field string, ref_key string, target_page_id string, ref_time timestamp")
+    pages = spark.createDataFrame([("3", 1, "current", "2024-05-31T00:00:00")], "page_id string, version int, status string, synced_at string")
+    for share in (0.001, 2.0):
+        assert tuples(refs.orphan_references(df, refs.page_states(pages), share), "ref_key", "reason") == [("", "late"), ("0", "late"), ("1", "late"), ("5", "late")]
+        assert tuples(refs.orphan_report(df, refs.page_states(pages), share), "ref_month", "n_orphans") == [("2024-01", 1), ("2024-05", 3)]
+
+
 def test_hot_target_is_split_off(spark):
     hot = spark.range(3000).select(F.lit("t").alias("ref_table"), F.lit("f").alias("ref_field"), F.col("id").cast("string").alias("ref_key"), F.when(F.col("id") % 3 == 0, "77").otherwise(F.col("id").cast("string")).alias("target_page_id"), F.timestamp_seconds("id").alias("ref_time"))
     got = refs.orphan_references(hot, states(spark), 0.1)
