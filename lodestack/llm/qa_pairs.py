@@ -3,7 +3,9 @@
 Copies are found by compression: the answer is compressed with the prompt as zstandard dictionary and the prompt
 with the answer as dictionary; where either leaves almost nothing new, the answer only gives the question back.
 Languages come from dictionaries of function words, refusals from dictionaries of phrases, and a terminal-context
-model, trained on the answers' own sentence ends, says whether a text may stop where it does.
+model, counted over the answers' own sentence and item ends, says whether a text may stop where it does. Its contexts
+are the last two words or marks (commas, colons, brackets, fences), apart for text inside brackets and for list items;
+how sure it must be depends on whether the answer closes its other sentences.
 """
 
 from __future__ import annotations
@@ -41,23 +43,26 @@ REFUSAL_PHRASES = {
         r"\b(?:this|that|your) (?:request|question)? ?(?:goes|is) (?:against|outside|beyond)\b[^.!?]*\b(?:guidelines|polic(?:y|ies)|rules|allowed|scope|able to|permitted)\b",
         r"\bas an? (?:ai |language |virtual |digital )*(?:assistant|model|ai)\b[^.!?]*\b(?:not|n't|cannot|unable|no access)\b",
         r"\bno answer can be given\b", r"\b(?:i|we) have no (?:access|permission)\b", r"\b(?:i|we) do(?: not|n't) have (?:access|permission)\b",
-        r"\b(?:i|we) (?:can(?:no|')?t|cannot) (?:talk|speak) about\b", r"\b(?:is|are) not something (?:i|we) can\b",
+        r"\b(?:i|we) (?:can(?:no|')?t|cannot|won't|will not) (?:be )?(?:talk|speak|say|go into|answer|discuss|comment)\w*\b", r"\bnot something (?:i|we)(?:'m| am|'re| are)? ?(?:can|could|will|would|may|want|wish|able|allowed)\b", r"\b(?:i|we)(?:'m| am|'re| are) not (?:going|willing|prepared|about) to\b", r"\b(?:i|we)(?:'d| would) rather not\b", r"\b(?:i|we) (?:choose|prefer) not to\b",
+        r"\bno comment\b", r"\b(?:my|our) (?:instructions|guidelines|rules|policy|policies|principles|training)\b[^.!?]*\b(?:forbid|prohibit|prevent|(?:do|does)(?: not|n't) (?:allow|permit|let))\w*\b", r"\b(?:is|are) off limits\b",
     ),
     "de": (
         r"\b(?:kann|darf|möchte|werde|können|dürfen)\b[^.!?]*\b(?:nicht|keine?n?)\b[^.!?]*\b(?:helfen|beantworten|antworten|auskunft|sagen|teilen|weitergeben|geben|unterstützen|äußern|erteilen)\b",
         r"\b(?:helfen|beantworten|antworten|auskunft)\b[^.!?]*\b(?:kann|darf|können|dürfen) (?:ich|wir)[^.!?]*\bnicht\b",
         r"\bals (?:ki-?)?(?:assistent|assistentin|sprachmodell|ki)\b[^.!?]*\b(?:kein\w*|nicht)\b",
         r"\b(?:ich|wir) (?:habe|haben) (?:leider )?keinen? (?:zugriff|zugang|berechtigung|befugnis)\b", r"\b(?:bin|sind) (?:leider )?nicht (?:befugt|berechtigt|in der lage)\b",
-        r"\bmuss (?:ich|wir)?[^.!?]*\bablehnen\b",
+        r"\bmuss (?:ich|wir)?[^.!?]*\bablehnen\b", r"\b(?:kein kommentar|keine auskunft|keine angaben?)\b", r"\b(?:möchte|will|werde|darf) (?:ich|dazu|das|darüber|mich)[^.!?]*\bnicht\b[^.!?]*$", r"\bmeine (?:vorgaben|regeln|anweisungen)\b[^.!?]*\b(?:verbieten|untersagen|erlauben)\b",
     ),
     "fr": (
         r"\bje (?:ne )?(?:peux|puis|pourrai|saurais|souhaite|veux) (?:malheureusement )?pas\b[^.!?]*\b(?:aider|répondre|partager|donner|fournir|communiquer|assister|commenter|discuter|divulguer|traiter)\b",
         r"\bje ne suis pas (?:autorisée?|en mesure|habilitée?|capable)\b", r"\bje n'ai pas (?:accès|le droit|l'autorisation)\b", r"\bje dois (?:refuser|décliner)\b",
+        r"\b(?:sans|aucun|pas de) commentaires?\b", r"\bje (?:préfère|souhaite) ne pas\b", r"\bje refuse\b", r"\bmes (?:consignes|règles|instructions)\b[^.!?]*\b(?:interdi\w+|permett\w+|empêch\w+)",
         r"\ben tant qu'(?:assistante?|ia|modèle)\b[^.!?]*\b(?:pas|aucun)\b", r"\bimpossible (?:pour moi )?de (?:répondre|vous aider)\b",
     ),
     "es": (
         r"\bno (?:puedo|podré|podemos|debo|quiero) (?:\w+ ){0,2}?(?:ayudar\w*|responder\w*|contestar\w*|compartir\w*|dar\w*|comentar\w*|proporcionar\w*|revelar\w*|hablar)\b",
         r"\bno (?:estoy|estamos) (?:autorizad[oa]s?|en condiciones|en posición)\b", r"\bno tengo (?:acceso|permiso|autorización)\b", r"\b(?:debo|tengo que) (?:rechazar|declinar|negarme)\b",
+        r"\bsin comentarios\b", r"\bprefiero no\b", r"\bme niego\b", r"\bno voy a (?:\w+ )?(?:responder|contestar|hablar|comentar|decir)\w*", r"\bmis (?:instrucciones|normas|reglas)\b[^.!?]*\b(?:prohíb\w+|permit\w+|impid\w+)",
         r"\bcomo (?:asistente|modelo|ia)\b[^.!?]*\bno\b", r"\bno me es posible (?:ayudar|responder|contestar)\w*\b",
     ),
 }
@@ -72,7 +77,9 @@ NOTHING = {"", "null", "none", "nil", "na", "nan", "undefined", "empty", "void",
 
 _TAG = re.compile(r"<[^<>]*>")
 _INVISIBLE = re.compile(r"[\u200b-\u200f\u2028-\u202e\u2060-\u2064\ufeff\u00ad]")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[,;:()\[\]{}–—]|(?<!\S)-(?!\S)|-$")
+_EMOTICON = re.compile(r"(?<!\w)[:;]-?[()\[\]](?!\w)")
+_OPENS, _CLOSES = "([{", ")]}"
 _CHAR_WORD = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"(?<=[.!?…。])[\"'”’»)\]*_]*\s+|\n+")
 _BULLET = re.compile(r"^\s*(?:[-*+•–]|\d{1,3}[.)])\s+\S")
@@ -151,27 +158,62 @@ def refusal_language(answer: str) -> str | None:
     return declined if declined and not left else None
 
 
+#: Least probability of an end by the style of a text: where its other sentences are closed, where it has but one,
+#: where it has at most three words, and in a list item.
+LEAST = {"closed": 0.9, "open": 0.02, "short": 0.002, "item": 0.02}
+
+
+#: What marks that announce more, and words inside brackets, are taken to end before anything is counted, as a share of the mean.
+MARK_PRIOR = 0.01
+_OPEN_MARK = re.compile(r"^•?\(|^•?[,;:(\[{–—-]$|^```$")
+
+
+def contexts(sentence: str, item: bool) -> list[tuple[str, str]]:
+    """Each word or mark with the one before (or ""); words inside brackets and of list items are told apart."""
+    out, before, depth = [], "", 0
+    for t in _TOKEN.findall(_EMOTICON.sub(" ", sentence.lower())):
+        if t in _CLOSES:
+            depth = max(0, depth - 1)
+        word = ("•" if item else "") + ("(" if depth else "") + t
+        out.append((before, word))
+        before = t
+        if t in _OPENS:
+            depth += 1
+    return out
+
+
+def _sentences(line: str) -> list[str]:
+    return [x for x in re.split(r"(?<=[.!?…])[\"'”’»)\]*_]*\s+", line) if x.strip()]
+
+
+def _is_closed(sentence: str) -> bool:
+    return sentence.rstrip().rstrip("\"'”’»)]}*_~`")[-1:] in tuple(".!?…。")
+
+
 def count_contexts(texts: Iterable[str], seen: Counter, ends: Counter) -> None:
-    """Add how often each pair (word before or "", word) stands in the texts, and how often it ends a sentence."""
+    """Add how often each pair (one before or "", word or mark) stands in the texts, and how often it ends a sentence or item.
+
+    A list item ends where another line follows. Whether the last words of an open text are an end is what is asked.
+    """
     for text in texts:
-        for line in text.split("\n"):
-            for sentence in re.split(r"(?<=[.!?…])\s+", line):
-                t = _TOKEN.findall(sentence.lower())
-                closed = sentence.rstrip()[-1:] in ".!?…"
-                if not closed:  # whether the last word is an end is what is asked
+        lines = text.split("\n")
+        for no, line in enumerate(lines):
+            if line.lstrip().startswith("```"):
+                seen["", "```"] += 1
+                continue
+            item = bool(_BULLET.match(line))
+            for sentence in _sentences(line):
+                t = contexts(sentence, item)
+                closed = _is_closed(sentence) or (item and no < len(lines) - 1)
+                if not closed:
                     del t[-1:]
-                seen.update(zip(["", *t], t))
+                seen.update(t)
                 if closed and t:
-                    ends[last_words(t)] += 1
-
-
-def last_words(t: list[str]) -> tuple[str, str]:
-    """The last two words; "" for one that is missing."""
-    return (t[-2] if len(t) > 1 else "", t[-1] if t else "")
+                    ends[t[-1]] += 1
 
 
 class TerminalContexts:
-    """Interpolated model of P(end | last two words), from sentence ends of the texts themselves."""
+    """Interpolated model of P(end | last two words or marks), from sentence and item ends of the texts themselves."""
 
     def __init__(self, texts: Iterable[str]):
         self.seen, self.ends = Counter(), Counter()
@@ -182,51 +224,41 @@ class TerminalContexts:
         n = sum(v for k, v in self.seen.items() if isinstance(k, str))
         self.base = sum(v for k, v in self.ends.items() if isinstance(k, str)) / n if n else 0.1
 
-    def __call__(self, fragment: str) -> float:
-        t = _TOKEN.findall(fragment.lower())
-        if not t:
+    def __call__(self, last: tuple[str, str]) -> float:
+        w = last[1]
+        if not w:
             return self.base
-        w = t[-1]
+        prior = self.base * (MARK_PRIOR if _OPEN_MARK.search(w) else 1)
+        if not last[0]:  # a sentence of one word, of which the word's use inside sentences says nothing
+            return (self.ends[last] + 4 * prior) / (self.seen[last] + 4)
         if not self.seen[w]:  # most likely a part of a word
-            return 0.2 * self.base
-        one = (self.ends[w] + 2 * self.base) / (self.seen[w] + 2)
-        two = (t[-2] if len(t) > 1 else "", w)
-        return (self.ends[two] + 4 * one) / (self.seen[two] + 4)
+            return 0.2 * prior
+        one = (self.ends[w] + 2 * prior) / (self.seen[w] + 2)
+        return (self.ends[last] + 4 * one) / (self.seen[last] + 4)
 
 
-def is_truncated(answer: str, ends: TerminalContexts, least: float = 0.02) -> bool:
+def is_truncated(answer: str, ends: TerminalContexts) -> bool:
     """Whether the text stops before it is finished."""
-    stops = stops_early(answer, least)
-    return stops if isinstance(stops, bool) else ends(stops[0]) < stops[1]
+    asked = open_end(answer)
+    return asked is not None and ends(asked[0]) < asked[1]
 
 
-def stops_early(answer: str, least: float = 0.02) -> bool | tuple[str, float]:
-    """Whether the text stops before it is finished; where its last words decide, their line and the least P(end)."""
+def open_end(answer: str) -> tuple[tuple[str, str], float] | None:
+    """The last two words or marks of a text that ends without a closing mark, and the least P(end) that it needs; None if it is closed."""
     text = _INVISIBLE.sub("", answer).rstrip()
     if text.count("```") % 2:
-        return True
-    if text.endswith("```") or _URL_END.search(text):
-        return False
-    if re.search(r"[,;:(\[{–—-]$", text):
-        return True
-    opened = text.rfind("(")
-    if opened > text.rfind(")") and "\n" not in text[opened:] and not re.search(r"[:;]-?\($", text):
-        return True
-    tail = text.rstrip("\"'”’»)]}*_~`")
-    last = tail[-1:]
-    if last in ".!?…。":
-        return False
-    if not last or not (last.isalnum() or last in "'-/&%$€+#@"):
-        return False  # pictographs, closing marks
+        return ("", "```"), LEAST["open"]
+    if text.endswith("```") or _URL_END.search(text) or _is_closed(text):
+        return None
     line = text[text.rfind("\n") + 1 :]
-    if _BULLET.match(line):
-        return line, least / 4
-    fragments = [f for f in re.split(r"(?<=[.!?…])\s+", line) if f.strip()]
-    if len(fragments) > 1 or re.search(r"[.!?…]\s*\n", text):
-        return True  # sentences are closed here, the last one is not
-    if len(_CHAR_WORD.findall(text)) <= 3:
-        return False
-    return line, least
+    last = text.rstrip("\"'”’»*_~`")[-1:]
+    if not last or not (last.isalnum() or last in "'-/&%$€+#@,;:()[]{}–—") or _EMOTICON.search(line[-3:]):
+        return None  # pictographs
+    item = bool(_BULLET.match(line))
+    fragments = _sentences(line)
+    t = contexts(fragments[-1], item) if fragments else []
+    style = "item" if item else "closed" if len(fragments) > 1 or re.search(r"[.!?…]\s*\n", text) else "short" if len(_CHAR_WORD.findall(text)) <= 3 and last.isalnum() else "open"
+    return t[-1] if t else ("", ""), LEAST[style]
 
 
 def defect(question: str | None, answer: str | None, ends: TerminalContexts) -> str | None:
@@ -282,9 +314,10 @@ def _open_ends(asked: DataFrame, feedback: DataFrame) -> DataFrame:
     base = total.ends / total.seen if total.seen else 0.1
     words = counts.groupBy("word").agg(F.sum("seen").alias("w_seen"), F.sum("ends").alias("w_ends"))
     known = asked.join(words, "word", "left").join(counts, ["before", "word"], "left")
-    one = (F.col("w_ends") + 2 * base) / (F.col("w_seen") + 2)
-    two = (F.coalesce("ends", F.lit(0)) + 4 * one) / (F.coalesce("seen", F.lit(0)) + 4)
-    chance = F.when(F.col("word") == "", F.lit(base)).when(F.col("w_seen").isNull(), F.lit(0.2 * base)).otherwise(two)
+    prior = F.when(F.col("word").rlike(_OPEN_MARK.pattern), F.lit(base * MARK_PRIOR)).otherwise(F.lit(base))
+    one = (F.col("w_ends") + 2 * prior) / (F.col("w_seen") + 2)
+    two = (F.coalesce("ends", F.lit(0)) + 4 * F.when(F.col("before") == "", prior).otherwise(one)) / (F.coalesce("seen", F.lit(0)) + 4)
+    chance = F.when(F.col("word") == "", F.lit(base)).when(F.col("before") == "", two).when(F.col("w_seen").isNull(), 0.2 * prior).otherwise(two)
     return known.where(chance < F.col("least"))
 
 
@@ -304,13 +337,13 @@ def broken_pairs(feedback: DataFrame, ends: TerminalContexts | None = None) -> D
             rows = []
             for key, q, a in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 kind = defect_of_whole(q, a)
-                stops = False if kind else stops_early(a)
-                if model is not None and not isinstance(stops, bool):
-                    stops = model(stops[0]) < stops[1]
-                if kind or stops is True:
-                    rows.append((key, kind or "truncated", None, None, None))
-                elif stops:
-                    rows.append((key, None, *last_words(_TOKEN.findall(stops[0].lower())), stops[1]))
+                asked = None if kind else open_end(a)
+                if asked and model is not None:
+                    kind, asked = "truncated" if model(asked[0]) < asked[1] else None, None
+                if kind:
+                    rows.append((key, kind, None, None, None))
+                elif asked:
+                    rows.append((key, None, *asked[0], asked[1]))
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["feedback_id", "defect", "before", "word", "least"])
 

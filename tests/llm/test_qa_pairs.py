@@ -3,7 +3,8 @@ import pytest
 from conftest import tuples
 from lodestack.llm import qa_pairs as qa
 
-ANSWERS = ["The cache was emptied on Monday morning. Ask the change board.", "Open the plan and keep the note short. The work is done by the change board.", "Every record was checked after the export."] * 5
+LISTS = [f"Open the plan.\n- {a} the cache\n- {b} the note\n- {a} the plan" for a in ("empty", "open") for b in ("keep", "check")] * 3
+ANSWERS = ["The cache was emptied on Monday morning. Ask the change board.", "Open the plan and keep the note short. The work is done by the change board.", "Every record was checked after the export."] * 40 + LISTS
 ENDS = qa.TerminalContexts(ANSWERS)
 Q = "How do I empty the shared cache in Fenula?"
 
@@ -20,13 +21,14 @@ def test_copy(answer):
 
 @pytest.mark.parametrize("question,answer", [
     (Q, "I'm sorry, but I can't help with that. Please contact the storage team!"), (Q, "I won't be able to assist with requests about the cache"), (Q, "This request goes against my guidelines, as it may be restricted."),
+    (Q, "I am not going to answer that"), (Q, "That is not something I will discuss."), (Q, "I'd rather not say"), (Q, "Sorry, no comment"), (Q, "My instructions forbid that."), ("Wo finde ich die Liste und wer darf sie ändern?", "Dazu kein Kommentar."), ("Où se trouve la page des notes?", "Je préfère ne pas en parler."), ("¿Dónde está la lista y quién la puede cambiar?", "Prefiero no hablar de eso."),
     ("Wie kann ich die Liste ändern?", "Diese Frage darf ich nicht beantworten."), ("Où se trouve la page des notes?", "Je ne suis pas autorisé à donner cette information"), ("¿Dónde está la lista y quién la puede cambiar?", "Lo siento, no puedo ayudar con eso."),
 ])
 def test_refusal(question, answer):
     assert qa.defect(question, answer, ENDS) == "refusal"
 
 
-@pytest.mark.parametrize("answer", ["The cache was emptied on", "The cache was emptied. Open the plan and kee", "Follow these steps:", "Keep the note short, link it to the plan (see the", "Run this:\n```\ntool drop --fo", "Every record was checked and,"])
+@pytest.mark.parametrize("answer", ["Open the plan.\n- empty the cache\n- keep the", "The cache was emptied on", "The cache was emptied. Open the plan and kee", "Follow these steps:", "Keep the note short, link it to the plan (see the", "Run this:\n```\ntool drop --fo", "Every record was checked and,"])
 def test_truncated(answer):
     assert qa.defect(Q, answer, ENDS) == "truncated"
 
