@@ -66,7 +66,13 @@ def blocks_text(blocks: Column) -> Column:
 
 def role_line(role: Column, content: Column) -> Column:
     """``Role: content``; a null content is empty."""
-    return F.concat(F.initcap(role), F.lit(": "), F.coalesce(content, F.lit("")))
+    return F.concat(title_case(role), F.lit(": "), F.coalesce(content, F.lit("")))
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters with a capital first, whatever stands before it: ``system_user`` is ``System_User``."""
+    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda x: F.initcap(x)), "")
 
 
 def cache_key(query: Column, limit: Column, use_mmr: Column) -> Column:

@@ -13,6 +13,8 @@ from lodestack.functions.text import context_entry, fill_template, role_line
 #: Templates; their values are inserted as they are.
 STRICT_PROMPT = "Answer the question from the sources below and from nothing else. Cite each source you use as [Title](URL).\nIf the sources do not say it, reply that they do not.\n\nSources:\n{context}\nQuestion:\n{question}\n\nAnswer:\n"
 CHAT_PROMPT = "You answer questions about a wiki, from the sources below and from nothing else. Cite each source you use as [Title](URL) and list them at the end.\nThe conversation so far only shows what is meant. If the sources do not say it, reply that they do not.\n\nSources:\n{context}\nConversation:\n{history}\n\nQuestion:\n{question}\n\nAnswer:\n"
+#: Turns of a conversation that a prompt holds.
+MAX_TURNS = 20
 NO_HITS = "No relevant documents were found."
 
 
@@ -35,8 +37,10 @@ def context_of(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["entry"]), "").alias("context"))
 
 
-def history_of(turns: DataFrame, max_turns: int | None = None) -> DataFrame:
-    """``conv_id, history``: lines ``Role: content`` in order of turns; with ``max_turns`` only the last ones.
+def history_of(turns: DataFrame, max_turns: int | None = MAX_TURNS) -> DataFrame:
+    """``conv_id, history``: lines ``Role: content`` in order of turns, of the last ``max_turns`` ones; with None of all.
+
+    The limit is applied in every task before the shuffle, so a long conversation costs no more than a short one.
 
     ``turns``: ``conv_id, turn, role, content``. A null content is empty.
     """
@@ -49,8 +53,8 @@ def history_of(turns: DataFrame, max_turns: int | None = None) -> DataFrame:
 
 def previous_turns(turns: DataFrame) -> DataFrame:
     """All turns of a conversation but its current, last one."""
-    w = Window.partitionBy("conv_id")
-    return turns.withColumn("last", F.max("turn").over(w)).where("turn < last").drop("last")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    return turns.join(last, "conv_id").where("turn < last").drop("last")
 
 
 def session_counters(turns: DataFrame) -> DataFrame:
@@ -79,9 +83,11 @@ def generate(prompted: DataFrame, model) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"query_id": pdf["query_id"].astype(str), "answer": model(list(pdf["prompt"]))})
+            if len(pdf):
+                yield pd.DataFrame({"query_id": pdf["query_id"], "answer": model(list(pdf["prompt"]))})
 
-    return prompted.select("query_id", "prompt").mapInPandas(run, "query_id string, answer string")
+    kind = prompted.schema["query_id"].dataType.simpleString()
+    return prompted.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, answer string")
 
 
 def answer_events(answers: DataFrame, sources: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def edges_of(child_edges: DataFrame, link_edges: DataFrame) -> DataFrame:
     return both.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
 
 
-def bfs(edges: DataFrame, root: str, max_pages: int | None = None, failed: DataFrame | None = None, max_depth: int = 10_000) -> DataFrame:
+def bfs(edges: DataFrame, root: str, max_pages: int | None = None, failed: DataFrame | None = None) -> DataFrame:
     """``page_id, depth`` of every page reachable from ``root``, each once at its least depth.
 
     Within a level pages are visited in order of id. ``max_pages`` counts attempts, so a page of ``failed``
@@ -27,7 +27,7 @@ def bfs(edges: DataFrame, root: str, max_pages: int | None = None, failed: DataF
     edges = cut_lineage(edges.select("src", "dst").distinct().repartition("src"))
     visited = spark.createDataFrame([(root, 0)], "page_id string, depth int")
     frontier, seen, depth = visited, 1, 0
-    while depth < max_depth and (max_pages is None or seen < max_pages):
+    while max_pages is None or seen < max_pages:
         depth += 1
         alive = frontier.join(failed.select("page_id"), "page_id", "left_anti") if failed is not None else frontier
         found = edges.join(alive.select(F.col("page_id").alias("src")), "src").select(F.col("dst").alias("page_id")).distinct()

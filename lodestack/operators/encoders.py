@@ -1,7 +1,7 @@
 """Text encoders behind one interface; the defaults need no model file.
 
-An encoder maps a list of texts to vectors. It is built once per Python worker, by name, from the registry, so a
-model-backed encoder can be registered in its place.
+An encoder maps a list of texts to vectors. Its factory is looked up by name on the driver and sent along; the encoder
+is built once per Python worker, so a model-backed one can be registered in its place.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,14 +56,26 @@ class HashingSparse:
 
 
 REGISTRY: dict[str, Callable] = {"hashing-dense": HashingDense, "hashing-sparse": HashingSparse}
-_built: dict[str, object] = {}
+_built: dict[bytes, object] = {}
 
 
-def encoder(name: str):
-    """The encoder of that name, built at first use in this process."""
-    if name not in _built:
-        _built[name] = REGISTRY[name]()
-    return _built[name]
+def register(name: str, factory: Callable) -> None:
+    """Make an encoder known under a name: a callable without arguments that returns the encoder."""
+    REGISTRY[name] = factory
+
+
+def shipped(name: str) -> bytes:
+    """The factory of that name, packed for the workers."""
+    if name not in REGISTRY:
+        raise KeyError(f"no encoder is registered as {name}")
+    return cloudpickle.dumps(REGISTRY[name])
+
+
+def built(factory: bytes):
+    """The encoder of a packed factory, built at first use in this process."""
+    if factory not in _built:
+        _built[factory] = cloudpickle.loads(factory)()
+    return _built[factory]
 
 
 def encode(df: DataFrame, text: str, dense: str = "hashing-dense", sparse: str = "hashing-sparse") -> DataFrame:
@@ -71,9 +84,10 @@ def encode(df: DataFrame, text: str, dense: str = "hashing-dense", sparse: str =
     rows = df.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     at = keep.index(text)
+    dense_factory, sparse_factory = shipped(dense), shipped(sparse)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to_dense, to_sparse = encoder(dense), encoder(sparse)
+        to_dense, to_sparse = built(dense_factory), built(sparse_factory)
         kind = pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
         for batch in batches:
             texts = batch.column(at).to_pylist()

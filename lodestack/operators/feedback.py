@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,14 +16,29 @@ def new_feedback(entries: DataFrame) -> DataFrame:
 
 
 def save_feedback(entries: DataFrame, path: str) -> DataFrame:
-    """Append entries to the store and return them with their ids."""
+    """Append entries to the store and return them with their ids.
+
+    The store is partitioned for its two ways of access, by type and by day, and sorted by time inside a file, so that
+    statistics of a type and the latest entries read their own files only.
+    """
     from lodestack.runtime import cut_lineage
 
     stored = cut_lineage(new_feedback(entries))  # ids are drawn once
-    stored.write.mode("append").parquet(path)
+    placed = stored.withColumn("by_type", F.coalesce("feedback_type", F.lit(""))).withColumn("day", F.to_date("created_at"))
+    placed.repartition("by_type", "day").sortWithinPartitions("created_at").write.mode("append").partitionBy("by_type", "day").parquet(path)
     return stored
 
 
+def read_feedback(spark: SparkSession, path: str, feedback_type: str | None = None, since: str | None = None) -> DataFrame:
+    """The stored entries, of one type or from a day on where given; other partitions are not read."""
+    rows = spark.read.parquet(path)
+    if feedback_type:
+        rows = rows.where(F.col("by_type") == feedback_type)
+    if since:
+        rows = rows.where(F.col("day") >= F.lit(since).cast("date"))
+    return rows.drop("by_type", "day")
+
+
 def feedback_stats(feedback: DataFrame) -> DataFrame:
     """``feedback_type, n``."""
     return feedback.groupBy("feedback_type").agg(F.count("*").alias("n"))

@@ -107,8 +107,12 @@ def _body(root: _Node) -> _Node:
 
 def html_blocks(html: str | None) -> list[dict]:
     """Blocks of a page: ``{type, text, rows}``; blank ones are left out."""
+    return blocks_of(parse(html))
+
+
+def blocks_of(root: _Node) -> list[dict]:
     out = []
-    body = _body(parse(html))
+    body = _body(root)
     for node in _walk(body):
         if node is body or node.tag not in BLOCKS:
             continue
@@ -130,28 +134,35 @@ def html_blocks(html: str | None) -> list[dict]:
 
 def html_links(html: str | None) -> list[str]:
     """Addresses of all anchors, in order."""
-    return [n.attrs["href"] or "" for n in _walk(parse(html)) if n.tag == "a" and "href" in n.attrs]
+    return links_of(parse(html))
+
+
+def links_of(root: _Node) -> list[str]:
+    return [n.attrs["href"] or "" for n in _walk(root) if n.tag == "a" and "href" in n.attrs]
 
 
 _BLOCK_TYPE = pa.struct([("type", pa.string()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))])
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "content_html", base: str = "https://wiki.quillmere.example") -> DataFrame:
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "content_html", base: str = "https://wiki.quillmere.example", keep: list[str] | None = None) -> DataFrame:
     """``key, blocks, text, links`` of every page; null or empty HTML gives no blocks, the empty text and no links.
 
-    Repeated rows give equal rows; extra columns are ignored. Links: internal page addresses, made absolute,
+    Each row is parsed once and stays a row, so versions of a page are never mixed up; columns of ``keep`` ride along.
+    Repeated rows give equal rows; other columns are ignored. Links: internal page addresses, made absolute,
     distinct and sorted.
     """
+    carried = [c for c in keep or [] if c != key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            html_col = batch.column(1).to_pylist()
-            blocks = pa.array([html_blocks(h) for h in html_col], pa.list_(_BLOCK_TYPE))
-            hrefs = pa.array([html_links(h) for h in html_col], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), blocks, hrefs], names=[key, "blocks", "hrefs"])
-
-    rows = pages.select(F.col(key).cast("string").alias(key), html)
-    parsed = rows.mapInArrow(run, f"{key} string, blocks array<struct<type:string,text:string,rows:array<array<string>>>>, hrefs array<string>")
+            trees = [parse(h) for h in batch.column(1).to_pylist()]
+            blocks = pa.array([blocks_of(t) for t in trees], pa.list_(_BLOCK_TYPE))
+            hrefs = pa.array([links_of(t) for t in trees], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], blocks, hrefs], names=[key, *(f"_{c}" for c in carried), "blocks", "hrefs"])
+
+    rows = pages.select(F.col(key).cast("string").alias(key), F.col(html).alias("_html"), *(F.col(c).alias(f"_{c}") for c in carried))
+    types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:])
+    parsed = rows.mapInArrow(run, f"`{key}` string{types}, blocks array<struct<type:string,text:string,rows:array<array<string>>>>, hrefs array<string>")
     links = F.transform("hrefs", lambda h: absolute_link(h, base))
     links = F.array_sort(F.array_distinct(F.filter(links, lambda u: is_page_link(u, base))))
-    return parsed.select(key, "blocks", blocks_text(F.col("blocks")).alias("text"), links.alias("links"))
+    return parsed.select(key, *(F.col(f"_{c}").alias(c) for c in carried), "blocks", blocks_text(F.col("blocks")).alias("text"), links.alias("links"))

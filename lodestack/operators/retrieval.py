@@ -6,7 +6,7 @@ they are ranked, so that the order does not depend on the order of summation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import terms
-from lodestack.runtime import BROADCAST_BYTES
+from lodestack.runtime import BROADCAST_BYTES, cut_lineage, pick_rows
 
 SCORE_DIGITS = 9
 K1, B = 1.2, 0.75
@@ -61,14 +61,173 @@ def bm25_weights(docs: DataFrame, id_col: str, text: str, ids_unique: bool = Fal
     return posted.join(every, "term").select("id", "term", (F.col("idf") * tf).alias("weight"))
 
 
-def sparse_topk(query_terms: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """Sum over shared terms of query weight times posting weight; ids that share no term are no hits.
+#: Bytes of scores that a task holds at a time: queries times rows.
+SCORE_BYTES = 32 * 1024 * 1024
+
+
+class _Best:
+    """The ``k`` best ids of every query that a task has seen; an id counts once, with its best score; ties by id."""
+
+    def __init__(self, k: int):
+        self.k, self.size, self.limit = k, 0, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, at: np.ndarray | None = None) -> None:
+        """``scores``: queries times rows of distinct ids, -inf for no hit; ``at``: numbers of the queries."""
+        n_q, n = scores.shape
+        m = min(n, self.k)
+        # everything at or above the k-th best, so that ties are left to the ids
+        least = np.partition(scores, n - m, axis=1)[:, n - m : n - m + 1]
+        q, d = np.nonzero((scores >= least) & (scores > -np.inf))
+        self.parts.append((q if at is None else at[q], ids[d], scores[q, d]))
+        self.size += len(q)
+        if self.size > max(self.limit, 4 * self.k * n_q):
+            self.prune()
+            self.limit = 2 * self.size
+
+    def prune(self) -> None:
+        q, ids, s = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((-s, ids, q))
+        q, ids, s = q[order], ids[order], s[order]
+        first = np.concatenate([[True], (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])]) if len(q) else np.empty(0, bool)
+        q, ids, s = q[first], ids[first], s[first]
+        order = np.lexsort((ids, -s, q))
+        q, ids, s = q[order], ids[order], s[order]
+        starts = np.searchsorted(q, q)
+        keep = np.arange(len(q)) - starts < self.k
+        self.parts, self.size = [(q[keep], ids[keep], s[keep])], int(keep.sum())
+
+    def batch(self, query_ids: np.ndarray, q_type: pa.DataType, id_type: pa.DataType) -> pa.RecordBatch | None:
+        if not self.parts:
+            return None
+        self.prune()
+        q, ids, s = self.parts[0]
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[q].tolist(), q_type), pa.array(ids.tolist(), id_type), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+
+def _collapsed(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of equal ids as one column of their greatest score."""
+    own, of = np.unique(ids, return_inverse=True)
+    if len(own) == len(ids):
+        return scores, ids
+    order = np.argsort(of, kind="stable")
+    return np.maximum.reduceat(scores[:, order], np.searchsorted(of[order], np.arange(len(own))), axis=1), own
+
+
+def _blocks_of_terms(query_terms: DataFrame) -> Iterator[tuple[list, dict]]:
+    """Query ids, the queries of each term and their weights, in blocks of a bounded size."""
+    ids: list = []
+    place: dict = {}
+    by_term: dict = {}
+    size = 0
+    for q, term, w in query_terms.select("query_id", "term", F.col("qw").cast("double")).sort("query_id").toLocalIterator():
+        if q not in place:
+            if size > BROADCAST_BYTES // 32:
+                yield ids, by_term
+                ids, place, by_term, size = [], {}, {}, 0
+            place[q] = len(ids)
+            ids.append(q)
+        at, ws = by_term.setdefault(term, ([], []))
+        at.append(place[q])
+        ws.append(w)
+        size += 1
+    if ids:
+        yield ids, by_term
+
+
+def sparse_topk(query_terms: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Sum over shared terms of query weight times the term's weight; ids that share no term are no hits.
+
+    ``query_terms``: ``query_id, term, qw``; ``vectors``: ``id, terms, weights`` (two arrays of one length), one row per
+    id; repeated rows of an id count once, with the best score. The query set is stated by the caller; its terms are
+    sent in blocks of a bounded size, each scanned against all vectors, of which every task keeps its ``k`` best per
+    query. So neither postings nor pairs of a query and a document are shuffled, and a term that all documents hold
+    costs one pass over them.
+    """
+    spark = vectors.sparkSession
+    id_type, q_type = vectors.schema["id"].dataType.simpleString(), query_terms.schema["query_id"].dataType.simpleString()
+    base = vectors.select("id", "terms", F.col("weights").cast("array<double>").alias("weights")).where(F.col("id").isNotNull() & (F.size("terms") > 0))
+    out = None
+    for ids, by_term in _blocks_of_terms(query_terms):
+        sent = spark.sparkContext.broadcast((ids, {t: (np.array(a), np.array(w)) for t, (a, w) in by_term.items()}))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, by_term = sent.value
+            query_ids, best, kinds = np.array(ids, dtype=object), _Best(k), None
+            step = max(1, SCORE_BYTES // (8 * len(ids)))
+            qkind = pa.array(ids[:1]).type
+            for whole in batches:
+                for a in range(0, whole.num_rows, step):
+                    batch = whole.slice(a, step)
+                    kinds = batch.column(0).type
+                    lengths = batch.column(1).value_lengths().to_numpy()
+                    doc = np.repeat(np.arange(batch.num_rows), lengths)
+                    terms_, weights = batch.column(1).flatten(), batch.column(2).flatten().to_numpy(zero_copy_only=False)
+                    coded = terms_.dictionary_encode()
+                    code = coded.indices.to_numpy(zero_copy_only=False)
+                    order = np.argsort(code, kind="stable")
+                    ends = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+                    scores = np.zeros((len(ids), batch.num_rows))
+                    shared = np.zeros(scores.shape, bool)
+                    for c, term in enumerate(coded.dictionary.to_pylist()):
+                        asked = by_term.get(term)
+                        if asked is None:
+                            continue
+                        at = order[ends[c] : ends[c + 1]]
+                        w = weights[at]
+                        at, w = at[w != 0], w[w != 0]  # a vector may name a term once only
+                        cell = np.ix_(asked[0], doc[at])
+                        scores[cell] += asked[1][:, None] * w[None, :]
+                        shared[cell] = True
+                    scores = np.where(shared, np.round(scores, SCORE_DIGITS), -np.inf)
+                    best.add(*_collapsed(scores, np.array(batch.column(0).to_pylist())))
+            got = best.batch(query_ids, qkind, kinds) if kinds is not None else None
+            if got is not None:
+                yield got
+
+        part = base.mapInArrow(scan, f"query_id {q_type}, id {id_type}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"query_id {q_type}, rank int, id {id_type}, score double")
+    once = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return top_per_query(once, k).select("query_id", "rank", "id", "score")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, id_col: str, text: str, q_id: str, q_text: str, k: int, ids_unique: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 top-k of every query: one pass over the documents for lengths and the frequencies of the queries' terms, one for the scores.
 
-    ``query_terms``: ``query_id, term, qw``. The join is on the term; Spark picks its side by size and splits hot
-    terms at run time.
+    The inverse document frequency rides on the query's weights, the rest of the weight on the document's terms.
     """
-    scored = query_terms.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("weight")), SCORE_DIGITS).alias("score"))
-    return top_per_query(scored, k).select("query_id", "rank", "id", "score")
+    asked = query_terms(queries, q_id, q_text)
+    rows = _terms_of(docs, id_col, text, ids_unique)
+    one = rows.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("total")).first()
+    if not one.n:
+        return sparse_topk(asked, rows.select("id", "terms", F.array().cast("array<double>").alias("weights")), k)
+    wanted = asked.select("term").distinct()
+    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(one.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = asked.join(df, "term").select("query_id", "term", (F.col("qw") * idf).alias("qw"))
+    return sparse_topk(weighted, _saturated(rows, one.total / one.n, k1, b), k)
+
+
+def _saturated(rows: DataFrame, avg_len: float, k1: float, b: float) -> DataFrame:
+    """``id, terms, weights``: every document's distinct terms with their frequencies' share of the BM25 weight."""
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().to_numpy()
+            doc = np.repeat(np.arange(batch.num_rows), lengths)
+            coded = batch.column(1).flatten().dictionary_encode()
+            many = max(1, len(coded.dictionary))
+            pair, tf = np.unique(doc * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            of = pair // many
+            w = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[of] / avg_len))
+            ends = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)).astype(np.int32))
+            found = coded.dictionary.take(pa.array(pair % many))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, found), pa.ListArray.from_arrays(ends, pa.array(w))], names=["id", "terms", "weights"])
+
+    return rows.mapInArrow(run, f"id {id_type}, terms array<string>, weights array<double>")
 
 
 def query_terms(queries: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -101,8 +260,9 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, exclude
 
     Both inputs: ``id, vec``; vectors of another length and null ids are left out. A repeated id counts once, with its
     best score, and takes one of the ``k`` places.
-    The query set is stated by the caller; it is sent in blocks of a bounded size, each scanned against all
-    vectors, of which every task keeps its ``k`` best per query before the final ranking.
+    The query set is stated by the caller; it passes through the driver and is sent in blocks of a bounded size, each
+    scanned against all vectors, of which every task keeps its ``k`` best per query before the final ranking. A task
+    holds ``SCORE_BYTES`` of scores at a time.
     """
     usable = lambda df: df.select("id", F.col("vec").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & (F.size("vec") == dim) & ~F.exists("vec", lambda x: x.isNull()))
     spark = vectors.sparkSession
@@ -115,35 +275,24 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, dim: int, exclude
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, x = sent.value
-            best: list[dict] = [{} for _ in ids]
-            kind = qkind = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                kind = batch.column(0).type
-                own = batch.column(0).to_pylist()
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
-                n = np.linalg.norm(v, axis=1)
-                s = np.round((x @ v.T) / np.where(n > 0, n, 1)[None, :], SCORE_DIGITS)
-                place: dict = {}
-                of = np.array([place.setdefault(d, len(place)) for d in own])
-                repeated, own = len(place) < len(own), list(place)
-                if repeated:  # rows of an id side by side
-                    order = np.argsort(of, kind="stable")
-                    starts = np.searchsorted(of[order], np.arange(len(own)))
-                m = min(len(own), k + 1)
-                for i in range(len(ids)):
-                    row = np.fmax.reduceat(s[i][order], starts) if repeated else s[i]
-                    cut = np.partition(row, len(own) - m)[len(own) - m]
-                    for j in np.flatnonzero(row >= cut):
-                        if not (exclude_self and own[j] == ids[i]):
-                            best[i][own[j]] = max(best[i].get(own[j], -np.inf), float(row[j]))
-                    if len(best[i]) > 4 * k:
-                        best[i] = dict(sorted(best[i].items(), key=lambda t: (-t[1], t[0]))[:k])
-            if kind is not None:
-                rows = [(q, d, s) for q, b in zip(ids, best, strict=True) for d, s in sorted(b.items(), key=lambda t: (-t[1], t[0]))[:k]]
-                qkind = pa.array(ids[:1]).type
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], qkind), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["query_id", "id", "score"])
+            query_ids, best, kind = np.array(ids, dtype=object), _Best(k), None
+            step = max(1, SCORE_BYTES // (8 * len(ids)))
+            own_ids = np.array(ids)
+            for whole in batches:
+                for a in range(0, whole.num_rows, step):
+                    batch = whole.slice(a, step)
+                    kind = batch.column(0).type
+                    own = np.array(batch.column(0).to_pylist())
+                    v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+                    n = np.linalg.norm(v, axis=1)
+                    s = np.round((x @ v.T) / np.where(n > 0, n, 1)[None, :], SCORE_DIGITS)
+                    s[np.isnan(s)] = -np.inf
+                    if exclude_self:
+                        s[own_ids[:, None] == own[None, :]] = -np.inf
+                    best.add(*_collapsed(s, own))
+            got = best.batch(query_ids, pa.array(ids[:1]).type, kind) if kind is not None else None
+            if got is not None:
+                yield got
 
         part = base.mapInArrow(scan, f"query_id {q_type}, id {id_type}, score double")
         out = part if out is None else out.unionByName(part)
@@ -198,7 +347,8 @@ def mmr(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, limit: in
     another length than the query's counts as all zero. Queries of at most ``limit`` candidates keep their order. The result keeps the candidates' scores, in order of selection.
     """
     q = queries.select(F.col("id").alias("query_id"), F.col("vec").cast("array<double>").alias("qvec")).dropDuplicates(["query_id"])
-    v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).dropDuplicates(["id"])
+    candidates = cut_lineage(candidates)  # they pick the vectors and are joined with them
+    v = pick_rows(vectors, candidates, "vec").select("id", F.col("vec").cast("array<double>").alias("vec"))
     rows = candidates.select("query_id", "id", "rank", "score").join(v, "id").join(q, "query_id")
     types = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
 
@@ -234,12 +384,35 @@ def lexical_overlap(query: Column, text: Column) -> Column:
 
 
 def rerank_lexical(hits: DataFrame, queries: DataFrame, texts: DataFrame, top_n: int = 5) -> DataFrame:
-    """Hits scored anew by lexical overlap with their query; ``queries`` and ``texts``: ``id, text``."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("text").alias("question"))
-    pairs = hits.select("query_id", "id").join(texts.select("id", "text").dropDuplicates(["id"]), "id").join(q, "query_id")
+    """Hits scored anew by lexical overlap with their query; ``queries`` and ``texts``: ``id, text``. Only the texts of hits are moved."""
+    pairs = _pairs(hits, queries, texts)
     return top_per_query(pairs.select("query_id", "id", lexical_overlap(F.col("question"), F.col("text")).alias("score")), top_n).select("query_id", "rank", "id", "score")
 
 
+def rerank_by(hits: DataFrame, queries: DataFrame, texts: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], top_n: int = 5) -> DataFrame:
+    """Hits scored anew by a model: a callable from questions and texts, pair by pair, to scores, called batch by batch in the workers.
+
+    A null question or text is handed over as the empty text.
+    """
+    pairs = _pairs(hits, queries, texts)
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                scores = scorer([x or "" for x in pdf["question"]], [x or "" for x in pdf["text"]])
+                yield pd.DataFrame({"query_id": pdf["query_id"], "id": pdf["id"], "score": np.round(np.asarray(list(scores), dtype=float), SCORE_DIGITS)})
+
+    scored = pairs.select("query_id", "id", "question", "text").mapInPandas(run, f"query_id {types['query_id']}, id {types['id']}, score double")
+    return top_per_query(scored, top_n).select("query_id", "rank", "id", "score")
+
+
+def _pairs(hits: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+    hits = cut_lineage(hits.select("query_id", "id"))
+    q = queries.select(F.col("id").alias("query_id"), F.col("text").alias("question"))
+    return hits.join(pick_rows(texts, hits, "text"), "id").join(q, "query_id")
+
+
 def distinct_queries(queries: DataFrame, text: str, limit: int = 20, use_mmr: bool = False) -> DataFrame:
     """``cache_key, text``: each different query once, which is what a result cache would compute."""
     from lodestack.functions.text import cache_key
@@ -248,18 +421,20 @@ def distinct_queries(queries: DataFrame, text: str, limit: int = 20, use_mmr: bo
     return keyed.groupBy("cache_key").agg(F.min("text").alias("text"))
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, use_mmr: bool = False, dim: int = 384, rrf_k: int = RRF_K, rrf_base: int = RRF_BASE, lam: float = 0.7) -> DataFrame:
-    """Dense and sparse candidates of every query, fused; one lazy plan for all queries.
+def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, use_mmr: bool = False, dim: int = 384, rrf_k: int = RRF_K, rrf_base: int = RRF_BASE, lam: float = 0.7, ids_unique: bool = False) -> DataFrame:
+    """Dense and sparse candidates of every query, fused, for all queries at once.
 
     ``queries`` and ``chunks``: ``id, dense, sparse``. Each list holds twice (with diversity three times) the limit.
+    Both sides are scans of the chunks' vectors; no vector is shuffled, but for those of candidates under diversity.
     """
     depth = limit * (3 if use_mmr else 2)
     from lodestack.operators.encoders import postings_of
 
     vec = lambda df: df.select("id", F.col("dense").alias("vec"))
     dense = dense_topk(vec(queries), vec(chunks), depth, dim)
-    qt = postings_of(queries).select(F.col("id").alias("query_id"), "term", F.col("weight").cast("double").alias("qw")).distinct()
-    weights = postings_of(chunks).select("id", "term", F.col("weight").cast("double").alias("weight")).distinct()
-    sparse = sparse_topk(qt, weights, depth)
+    qt = postings_of(queries).select(F.col("id").alias("query_id"), "term", F.col("weight").cast("double").alias("qw"))
+    qt = qt if ids_unique else qt.distinct()
+    weights = chunks.select("id", F.col("sparse.indices").alias("terms"), F.col("sparse.values").alias("weights"))
+    sparse = sparse_topk(qt, weights.where((F.size("terms") == F.size("weights")) & ~F.exists("weights", lambda w: w.isNull())), depth)
     fused = rrf_fuse([dense, sparse], rrf_k, rrf_base, depth if use_mmr else limit)
     return mmr(fused, vec(queries), vec(chunks), limit, lam) if use_mmr else fused

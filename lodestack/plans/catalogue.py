@@ -16,7 +16,8 @@ from lodestack.operators.encoders import encode, postings_of
 from lodestack.operators.html import parse_pages
 from lodestack.operators.upsert import latest_by
 from lodestack.plans import pipeline
-from lodestack.runtime import cut_lineage, table
+from lodestack.runtime import cut_lineage, pick_rows, scratch_path, table
+from lodestack.sources import ndjson
 from lodestack.streaming import feeds
 
 BASE = "https://wiki.quillmere.example"
@@ -81,11 +82,25 @@ def stream_event_counts(spark: SparkSession, d: str) -> DataFrame:
     return feeds.run_to_table(counts).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-@query("SELECT feedback_type, count(*) AS n FROM (SELECT DISTINCT ON (feedback_id) feedback_id, feedback_type FROM feedback WHERE created_at IS NOT NULL ORDER BY feedback_id) GROUP BY 1")
+@query("SELECT feedback_type, count(*) AS n FROM (SELECT DISTINCT ON (feedback_id) feedback_id, feedback_type FROM feedback ORDER BY feedback_id) GROUP BY 1")
 def stream_feedback_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = feeds.stream_of(spark, f"{d}/feedback.parquet").select("feedback_id", "feedback_type", "created_at").where("created_at IS NOT NULL")
-    once = rows.dropDuplicates(["feedback_id"])
-    return feeds.run_to_table(once.select("feedback_id", "feedback_type"), "append").groupBy("feedback_type").agg(F.count("*").alias("n"))
+    return feeds.distinct_counts(feeds.stream_of(spark, f"{d}/feedback.parquet"), "feedback_id", "feedback_type", "created_at")
+
+
+@query("""SELECT time_bucket(INTERVAL '30 minutes', ts, TIMESTAMP '1970-01-01') - INTERVAL '30 minutes' * k AS window_start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) s(k) GROUP BY 1, 2""")
+def stream_sliding_counts(spark: SparkSession, d: str) -> DataFrame:
+    events = feeds.stream_of(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counts = feeds.windowed_counts(events, "ts", "event_type", "1 hour", slide="30 minutes")
+    return feeds.run_to_table(counts).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS no FROM e)
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, no""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    events = feeds.stream_of(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id").where("user_id IS NOT NULL AND ts IS NOT NULL")
+    counts = feeds.run_to_table(feeds.session_counts(events, "ts", "user_id"))
+    return counts.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
 # ---- pages, links, chunks ---------------------------------------------------------------------------------------
@@ -243,8 +258,7 @@ def sparse_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    weights = retrieval.bm25_weights(table(spark, d, "documents"), "doc_id", "text", ids_unique=True)
-    return retrieval.sparse_topk(retrieval.query_terms(table(spark, d, "eval_items"), "item_id", "item_text"), weights, k)
+    return retrieval.bm25_topk(table(spark, d, "eval_items"), table(spark, d, "documents"), "doc_id", "text", "item_id", "item_text", k, ids_unique=True)
 
 
 @query(_BM25 + "SELECT query_id, rank, id, round(score, 6) AS score FROM sparse WHERE rank <= 20")
@@ -382,7 +396,7 @@ _RERANKED = r"""t AS (SELECT id, list_distinct(coalesce(regexp_extract_all(lower
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
     texts = _texts(spark, d)
-    return retrieval.rerank_lexical(_hybrid(spark, d), _asking(texts).dropDuplicates(["id"]), texts)
+    return cut_lineage(retrieval.rerank_lexical(_hybrid(spark, d), _asking(texts).dropDuplicates(["id"]), texts))
 
 
 @query(_HYBRID + "," + _RERANKED + "SELECT query_id, rank, id, round(score, 6) AS score FROM best")
@@ -391,8 +405,8 @@ def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _payload(spark: SparkSession, d: str) -> DataFrame:
-    payload = _chunks(spark, d).select("id", "title", "url", "chunk").dropDuplicates(["id"])
-    return _reranked(spark, d).join(payload, "id")
+    best = _reranked(spark, d)
+    return best.join(pick_rows(_chunks(spark, d), best, "title", "url", "chunk"), "id")
 
 
 _FIRST = "src AS (SELECT query_id, rank, title, url FROM best JOIN u USING (id) QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY rank) = 1)"
@@ -420,18 +434,21 @@ def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     return answer.prompts(questions, answer.context_of(_payload(spark, d)), template=answer.STRICT_PROMPT)
 
 
-_TURNS = """turns AS (SELECT coalesce(user_id, 'none') || ':' || strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS conv_id, created_at, feedback_id, question, answer
-    FROM (SELECT DISTINCT ON (feedback_id) * FROM feedback WHERE feedback_id IS NOT NULL AND created_at IS NOT NULL ORDER BY feedback_id))"""
+_TURNS = """turns AS (SELECT coalesce(user_id, 'none') || ':' || coalesce(strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%d'), 'none') AS conv_id, created_at, feedback_id, question, answer
+    FROM (SELECT DISTINCT ON (feedback_id) * FROM feedback WHERE feedback_id IS NOT NULL ORDER BY feedback_id))"""
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "feedback").where("feedback_id IS NOT NULL AND created_at IS NOT NULL").dropDuplicates(["feedback_id"])
-    conv = F.concat(F.coalesce("user_id", F.lit("none")), F.lit(":"), F.date_format("created_at", "yyyy-MM-dd"))
+    """Two turns per entry; entries without time are conversations of their own and the last in order."""
+    rows = table(spark, d, "feedback").where("feedback_id IS NOT NULL").dropDuplicates(["feedback_id"])
+    conv = F.concat(F.coalesce("user_id", F.lit("none")), F.lit(":"), F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.lit("none")))
     pair = F.array(F.struct(F.lit(0).alias("part"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit(1).alias("part"), F.lit("assistant").alias("role"), F.col("answer").alias("content")))
-    return rows.select(conv.alias("conv_id"), "created_at", "feedback_id", F.explode(pair).alias("m")).select("conv_id", F.struct("created_at", "feedback_id", "m.part").alias("turn"), "m.role", "m.content")
+    turn = F.struct(F.col("created_at").isNull().alias("no_time"), "created_at", "feedback_id", "m.part")
+    return rows.select(conv.alias("conv_id"), "created_at", "feedback_id", F.explode(pair).alias("m")).select("conv_id", turn.alias("turn"), "m.role", "m.content")
 
 
-@query(f"WITH {_TURNS} SELECT conv_id, string_agg('User: ' || coalesce(question, '') || chr(10) || 'Assistant: ' || coalesce(answer, ''), chr(10) ORDER BY created_at, feedback_id) AS history FROM turns GROUP BY 1")
+@query(f"""WITH {_TURNS}, t AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY created_at IS NULL DESC, created_at DESC, feedback_id DESC) <= 10)
+  SELECT conv_id, string_agg('User: ' || coalesce(question, '') || chr(10) || 'Assistant: ' || coalesce(answer, ''), chr(10) ORDER BY created_at NULLS LAST, feedback_id) AS history FROM t GROUP BY 1""")
 def chat_history(spark: SparkSession, d: str) -> DataFrame:
     return answer.history_of(_turns(spark, d))
 
@@ -441,11 +458,18 @@ def previous_turns(spark: SparkSession, d: str) -> DataFrame:
     return answer.previous_turns(_turns(spark, d)).groupBy("conv_id").agg(F.count("*").alias("n_before"))
 
 
+@query(f"WITH {_TURNS} SELECT conv_id, count(*) AS n_queries, 2 * count(*) AS n_messages FROM turns GROUP BY 1")
+def session_counters(spark: SparkSession, d: str) -> DataFrame:
+    return answer.session_counters(_turns(spark, d))
+
+
 @query(r"""SELECT feedback_id AS query_id, array_to_string(regexp_extract_all(coalesce(answer, ''), '\S+\s*|\s+'), '') AS answer FROM (SELECT DISTINCT ON (feedback_id) * FROM feedback WHERE feedback_id IS NOT NULL ORDER BY feedback_id) WHERE coalesce(answer, '') <> ''""")
 def ndjson_events(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "feedback").where("feedback_id IS NOT NULL").dropDuplicates(["feedback_id"]).select(F.col("feedback_id").alias("query_id"), "answer", "sources")
     listed = rows.select("query_id", F.posexplode("sources").alias("source_no", "s")).select("query_id", "source_no", "s.title", "s.url")
-    return answer.fold_events(answer.answer_events(rows.select("query_id", "answer"), listed))
+    path = scratch_path(spark, "events")
+    ndjson.write_events(answer.answer_events(rows.select("query_id", "answer"), listed), path)
+    return answer.fold_events(ndjson.read_events(spark, path))
 
 
 @query()
@@ -464,4 +488,4 @@ def vector_postings(spark: SparkSession, d: str) -> DataFrame:
 def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
     chunks = cut_lineage(pipeline.ingest(table(spark, d, "pages")))  # encoded once, read by several branches
     questions = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("query_id"), F.col("item_text").alias("question"))
-    return pipeline.answer_questions(questions, chunks)["answers"]
+    return pipeline.answer_questions(questions, chunks, ids_unique=True)["answers"]

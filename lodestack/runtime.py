@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, local runs) is a temporary folder made and set.
+    Only where the session names none and runs on this machine alone (tests) is a temporary folder made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestack-ckpt-"))
     return sc.getCheckpointDir()
 
@@ -44,6 +46,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lodestack-{label}-{uuid.uuid4().hex}"
 
 
+def pick_rows(collection: DataFrame, wanted: DataFrame, *cols: str, id_col: str = "id") -> DataFrame:
+    """The rows of a collection whose id is wanted, each id once; the wanted ids are few and written, such as those of hits.
+
+    The ids are sent to the collection's rows if they are within ``BROADCAST_BYTES``, so that nothing but the wanted
+    rows is shuffled; beyond that both sides are shuffled by id.
+    """
+    ids = cut_lineage(wanted.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct())
+    size = ids.agg(F.count("*").alias("n"), F.max(F.length(F.col(id_col).cast("string"))).alias("most")).first()
+    small = size.n * (32 + (size.most or 0)) <= BROADCAST_BYTES
+    return collection.select(id_col, *cols).join(F.broadcast(ids) if small else ids, id_col, "left_semi").dropDuplicates([id_col])
+
+
 def row_key(*cols: str, sep: str = ":"):
     """Column that joins the given columns by ``sep``; a null part counts as the empty text."""
     parts = []

@@ -13,7 +13,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Answers after which a request is tried again with a pause.
@@ -128,12 +128,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WikiChildren)
 
 
-def crawl(spark: SparkSession, base: str, space: str, root: str | None = None, max_pages: int = 2000, **options: str):
+def crawl(spark: SparkSession, base: str | None = None, space: str | None = None, root: str | None = None, max_pages: int | None = None, stats: dict | None = None, **options: str):
     """Fetch a wiki level by level from its home page: (pages, attempted ids).
 
     Each level is one distributed read of its pages and one of their children; a page that cannot be fetched takes
     one of the ``max_pages`` attempts and contributes no edges. Only ids of the frontier, which ``max_pages``
-    bounds, pass through the driver.
+    bounds, pass through the driver. Base, space and bound that are not given are those of the settings. ``stats`` is
+    filled with the pages fetched, the ids attempted and the seconds taken.
     """
     from pyspark.sql import functions as F
 
@@ -141,8 +142,14 @@ def crawl(spark: SparkSession, base: str, space: str, root: str | None = None, m
     from lodestack.functions.text import url_to_id
     from lodestack.runtime import cut_lineage
 
+    from lodestack.config import settings
+
+    conf, began = settings(), time.monotonic()
+    base, space, max_pages = base or conf.wiki_base, space or conf.wiki_space, conf.max_pages if max_pages is None else max_pages
+    options = {"token": conf.wiki_token, "tries": str(conf.tries), "backoff": str(conf.backoff_s), "timeout": str(conf.timeout_s), "size": str(conf.list_size)} | options
     register(spark)
     base = base.rstrip("/")
+    n_pages = 0
     how = {k: v for k, v in {"token": options.get("token"), "tries": int(options["tries"]) if "tries" in options else None, "backoff": float(options["backoff"]) if "backoff" in options else None}.items() if v is not None}
     level = [root or home_page_id(base, space, **how)]
     seen: dict[str, None] = dict.fromkeys(level)
@@ -153,11 +160,15 @@ def crawl(spark: SparkSession, base: str, space: str, root: str | None = None, m
             break
         attempted += level
         opts = {"base": base, "space": space, "ids": ",".join(level), **{k: str(v) for k, v in options.items()}}
-        got = cut_lineage(spark.read.format("wiki_pages").options(**opts).load())
+        fetched = Observation()
+        got = cut_lineage(spark.read.format("wiki_pages").options(**opts).load().observe(fetched, F.count(F.lit(1)).alias("n")))
+        n_pages += fetched.get.get("n", 0)
         children = spark.read.format("wiki_children").options(**opts).load().join(got.select(F.col("page_id").alias("src")), "src", "left_semi").select("dst")
         linked = parse_pages(got, base=base).select(F.explode("links").alias("u")).select(url_to_id(F.col("u")).alias("dst"))
         found = children.unionByName(linked).where("dst IS NOT NULL").distinct().orderBy("dst")
         pages = got if pages is None else pages.unionByName(got)
         level = [r[0] for r in found.limit(max_pages + len(seen)).collect() if r[0] not in seen]
         seen |= dict.fromkeys(level)
+    if stats is not None:
+        stats |= {"pages": n_pages, "attempted": len(attempted), "seconds": time.monotonic() - began}
     return pages, attempted

@@ -84,3 +84,9 @@ def test_pages_from_html(spark):
     raw = spark.createDataFrame([("1", "<h1>T</h1><p>x</p><a href='/pages/3'>l</a>")], "page_id string, content_html string")
     row = pipeline.pages_from_html(raw, "https://w").first()
     assert row.content_text == "T\nx" and row.internal_links == ["https://w/pages/3"]
+
+
+def test_versions_of_a_page_keep_their_own_text(spark):
+    rows = [("1", 1, "<p>old</p>"), ("1", 2, "<p>new</p>"), (None, 1, "<p>none</p>"), ("1", 2, "<p>new</p>")]
+    got = pipeline.pages_from_html(spark.createDataFrame(rows, "page_id string, version int, content_html string"), "https://w")
+    assert tuples(got, "page_id", "version", "content_text") == [("1", 1, "old"), ("1", 2, "new"), ("1", 2, "new"), (None, 1, "none")]

@@ -74,10 +74,30 @@ def test_lsh_finds_most_neighbours(spark):
 
 def test_sparse_side(spark):
     docs = spark.createDataFrame([(1, "Red apple apple"), (1, "Red apple apple"), (2, "green pear"), (3, None), (4, "")], "id long, text string")
-    weights = retrieval.bm25_weights(docs, "id", "text")
     q = spark.createDataFrame([(7, "APPLE pear!"), (8, "nothing")], "id long, text string")
-    got = retrieval.sparse_topk(retrieval.query_terms(q, "id", "text"), weights, 5)
-    assert [(r.query_id, r["rank"], r.id) for r in got.orderBy("rank").collect()] in ([(7, 1, 1), (7, 2, 2)], [(7, 1, 2), (7, 2, 1)])
+    got = [(r.query_id, r["rank"], r.id, round(r.score, 6)) for r in retrieval.bm25_topk(q, docs, "id", "text", "id", "text", 5).orderBy("rank").collect()]
+    weights = {(r.id, r.term): r.weight for r in retrieval.bm25_weights(docs, "id", "text").collect()}
+    want = sorted([(-round(weights[1, "apple"], 6), 1), (-round(weights[2, "pear"], 6), 2)])
+    assert got == [(7, i + 1, d, -s) for i, (s, d) in enumerate(want)]
+    assert retrieval.bm25_topk(q, docs.where("false"), "id", "text", "id", "text", 5).count() == 0
+
+
+def test_sparse_topk_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    docs = [(i, sorted({int(t) for t in rng.integers(0, 12, 5)})) for i in range(80)]
+    rows = [(i, t, [float(1 + (i * 7 + x) % 5) for x in t]) for i, t in docs] + [(3, docs[3][1], [float(1 + (21 + x) % 5) for x in docs[3][1]]), (90, None, None), (91, [], []), (None, [1], [1.0])]
+    v = spark.createDataFrame(rows, "id long, terms array<int>, weights array<double>").repartition(3)
+    asked = [(q, t, float(1 + t % 3)) for q in range(5) for t in ((0, q + 1, 11) if q < 4 else (99,))]
+    monkeypatch.setattr(retrieval, "SCORE_BYTES", 8 * 5 * 7)
+    for most in (32 * 2, 2**20):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", most)
+        got = {}
+        for r in retrieval.sparse_topk(spark.createDataFrame(asked, "query_id long, term int, qw double"), v, 6).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
+        assert set(got) == {0, 1, 2, 3}
+        for q in range(4):
+            s = {i: sum(w * float(1 + (i * 7 + t) % 5) for p, t, w in asked if p == q and t in ts) for i, ts in docs}
+            assert [got[q][k] for k in sorted(got[q])] == [(i, x) for i, x in sorted(s.items(), key=lambda y: (-y[1], y[0])) if x][:6]
 
 
 def test_rerankers(spark):
@@ -88,6 +108,8 @@ def test_rerankers(spark):
     got = [(r.id, r.score) for r in retrieval.rerank_lexical(h, q, texts, 3).orderBy("rank").collect()]
     assert got == [("d2", 1.0), ("d7", 0.5), ("d1", 0.0)]
     assert retrieval.rerank_lexical(h.where("false"), q, texts).count() == 0
+    by_length = [(r.id, r.score) for r in retrieval.rerank_by(h, q, texts, lambda qs, ts: [len(a) + len(b) for a, b in zip(qs, ts)], 2).orderBy("rank").collect()]
+    assert by_length == [("d2", 20.0), ("d1", 15.0)]
 
 
 def test_sources_context_history(spark):
@@ -130,6 +152,8 @@ def test_whole_answer_pipeline(spark):
     assert set(answers) == {"a", "b"} and answers["a"] == answers["b"] and "cellar" in answers["a"] and "[Fruit](u2)" in answers["a"]
     nothing = pipeline.answer_questions(asked, chunks.where("false"))["answers"].collect()
     assert {r.answer for r in nothing} == {answer.NO_HITS}
+    told = pipeline.answer_questions(asked, chunks, rerank=lambda qs, ts: [float("cellar" in x) for x in ts], generator=lambda ps: [f"{len(p)}!" for p in ps])["answers"].collect()
+    assert len(told) == 2 and all(r.answer.endswith("!") for r in told)
     out = answer.generate(got["prompts"], lambda ps: [p[:3] for p in ps]).collect()
     assert len(out) == 2 and all(r.answer == "You" for r in out)
 

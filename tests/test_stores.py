@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import tuples
 from lodestack.config import load_settings, read_env_file
-from lodestack.operators import admin, crawl, feedback
-from lodestack.operators.upsert import create_table, latest_by, upsert, upsert_table
+from lodestack.operators import admin, crawl, encoders, feedback
+from lodestack.operators.upsert import create_table, latest_by, read_table, upsert, upsert_table
+from lodestack.plans import pipeline
 from lodestack.sources import ndjson, wiki_rest
 from lodestack.streaming import feeds
 
@@ -43,10 +44,59 @@ def test_upsert(spark, tmp_path):
     path = str(tmp_path / "t")
     upsert_table(old, path, ["k"])
     upsert_table(spark.createDataFrame([("9", 3, "z"), ("7", 5, "w")], "k string, v int, keep string"), path, ["k"])
-    assert tuples(spark.read.parquet(path)) == [("7", 5, "w"), ("8", 1, "y"), ("9", 3, "z")]
+    assert tuples(read_table(spark, path)) == [("7", 5, "w"), ("8", 1, "y"), ("9", 3, "z")]
     assert tuples(latest_by(old.unionByName(old.withColumn("v", F.lit(9))), ["k"], F.col("v")), "k", "v") == [("7", 9), ("8", 9)]
 
 
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert_table(spark.range(200).selectExpr("cast(id AS string) AS k", "id AS v"), path, ["k"], buckets=16)
+    before = {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")}
+    upsert_table(spark.createDataFrame([("7", 70)], "k string, v long"), path, ["k"])
+    after = {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")}
+    assert len(after - before) == 1 and read_table(spark, path).count() == 200 and read_table(spark, path).where("k = '7'").first().v == 70
+    (tmp_path / "t" / "part-9-torn").mkdir()  # what a crash before the commit leaves is not read
+    assert read_table(spark, path).count() == 200
+
+
+def test_older_rows_of_later_batches_lose(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    one = lambda at, v, no: spark.createDataFrame([("a", at, v)], "k string, at int, v string").coalesce(1).write.parquet(str(src / f"{no}"))
+    one(20, "new", 0)
+    for no, (at, v, want) in enumerate([(None, None, "new"), (10, "old", "new"), (20, "again", "again"), (30, "newest", "newest")], 1):
+        if at:
+            one(at, v, no)
+        stream = spark.readStream.schema("k string, at int, v string").option("recursiveFileLookup", "true").parquet(str(src))
+        feeds.upsert_stream(stream, out, ["k"], "at", str(tmp_path / "cp")).awaitTermination()
+        assert [r.v for r in read_table(spark, out).collect()] == [want]
+
+
+def test_chunks_of_emptied_pages_go(spark, tmp_path):
+    path = str(tmp_path / "points")
+    schema = "page_id string, version int, title string, url string, content_text string, internal_links array<string>, synced_at string"
+    ingest = lambda *rows: pipeline.ingest(spark.createDataFrame([(p, v, "T", "u", t, None, "x") for p, v, t in rows], schema), path)
+    assert ingest(("1", 1, "hello world text"), ("2", 1, "other")).count() == 2
+    assert [r.page_id for r in ingest(("1", 2, "")).collect()] == ["2"]
+    assert {r.chunk for r in ingest(("1", 3, "back"), ("2", 2, None)).collect()} == {"back"}
+
+
+def test_registered_encoders_reach_the_workers(spark):
+    encoders.register("shout", lambda: lambda texts: [[1.0, float(len(t or ""))] for t in texts])
+    got = encoders.encode(spark.createDataFrame([("abc",), (None,)], "t string").repartition(2), "t", dense="shout")
+    assert sorted(r.dense[1] for r in got.collect()) == [0.0, 3.0]
+    with pytest.raises(KeyError):
+        encoders.encode(spark.createDataFrame([("abc",)], "t string"), "t", dense="nobody")
+
+
+def test_stored_feedback_is_partitioned(spark, tmp_path):
+    path = str(tmp_path / "f")
+    feedback.save_feedback(entries(spark, "positive", "negative", None), path)
+    got = feedback.read_feedback(spark, path, "negative", "2000-01-01")
+    assert [r.feedback_type for r in got.collect()] == ["negative"] and "day" not in got.columns
+    assert "PartitionFilters: [isnotnull(by_type" in got._jdf.queryExecution().executedPlan().toString()
+    assert feedback.read_feedback(spark, path).count() == 3
+
+
 def test_create_table_checks_the_schema(spark, tmp_path):
     path = str(tmp_path / "c")
     assert create_table(spark, path, "a int").count() == create_table(spark, path, "a int").count() == 0
@@ -125,7 +175,9 @@ def test_rest_source(spark, wiki):
     assert attempted == ["1", "2", "3", "4", "6"]  # 3 fails and contributes nothing; 6 is linked from a page's text
     got = {r.page_id: r for r in pages.collect()}
     assert set(got) == {"1", "2", "4", "6"} and got["2"].url == f"{wiki}/spaces/S/pages/2/P+2" and got["6"].title == "Untitled-6" and got["6"].version == 1 and got["6"].content_html == ""
-    assert wiki_rest.crawl(spark, wiki, "S", max_pages=2, backoff="0.1")[1] == ["1", "2"]
+    stats = {}
+    assert wiki_rest.crawl(spark, wiki, "S", max_pages=2, stats=stats, backoff="0.1")[1] == ["1", "2"]
+    assert stats["pages"] == stats["attempted"] == 2 and stats["seconds"] > 0
 
 
 def test_ndjson(spark, tmp_path):
@@ -146,7 +198,7 @@ def test_streams(spark, tmp_path):
     assert tuples(once) == [("a",), ("b",)]
     for _ in range(2):  # a second run finds nothing new and leaves the table as it is
         feeds.upsert_stream(feeds.stream_of(spark, src, 1), out, ["k"], "v", str(tmp_path / "cp")).awaitTermination()
-        assert {r[0] for r in tuples(spark.read.parquet(out), "k")} == {"a", "b"}
+        assert {r[0] for r in tuples(read_table(spark, out), "k")} == {"a", "b"}
 
 
 def test_admin(spark):
