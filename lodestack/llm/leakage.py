@@ -7,18 +7,21 @@ patterns, and a direct comparison of the words confirms an occurrence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.words import words
+from lodestack.runtime import BROADCAST_BYTES, cut_lineage
 
 RUN = 12
 BLOCK = 3
-#: Patterns of one pass; larger item tables are searched in several passes, so a table sent to the executors is bounded.
-PATTERNS_PER_PASS = 400_000
+#: Patterns of one pass, at about 110 bytes each when packed, so that the tables sent at a time stay within
+#: ``BROADCAST_BYTES``, which is checked; larger item tables are searched in several passes.
+PATTERNS_PER_PASS = 200_000
 
 
 class WuManber:
@@ -72,52 +75,91 @@ class WuManber:
 
 
 def item_passes(items: DataFrame, run: int = RUN, most: int = PATTERNS_PER_PASS) -> Iterator[list[tuple[int, list[str]]]]:
-    """Word lists of the items, in passes of at most ``most`` patterns (an item alone may hold more)."""
+    """Word lists of the items, in passes of at most ``most`` patterns; an item of more is cut into stretches that overlap by a pattern less a word."""
     part, size = [], 0
     for row in items.select("item_id", "item_text").where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).distinct().toLocalIterator():
-        w = words(row[1])
-        n = len(w) - run + 1
-        if n <= 0:
-            continue
-        if part and size + n > most:
-            yield part
-            part, size = [], 0
-        part.append((row[0], w))
-        size += n
+        whole = words(row[1])
+        for a in range(0, max(0, len(whole) - run + 1), most):
+            w = whole[a : a + most + run - 1]
+            n = len(w) - run + 1
+            if part and size + n > most:
+                yield part
+                part, size = [], 0
+            part.append((row[0], w))
+            size += n
     if part:
         yield part
 
 
+def search_tables(items: DataFrame, run: int, most: int, limit: int = BROADCAST_BYTES) -> Iterator[bytes]:
+    """Packed search tables of all items, each within ``limit`` bytes; a pass of unusually long words is halved until it fits."""
+    for part in item_passes(items, run, most):
+        todo = [part]
+        while todo:
+            now = todo.pop()
+            packed = pickle.dumps(WuManber(now, run))
+            if len(packed) <= limit or (len(now) == 1 and len(now[0][1]) <= run):
+                yield packed
+                continue
+            if len(now) > 1:
+                todo += [now[: len(now) // 2], now[len(now) // 2 :]]
+            else:
+                (item, w), half = now[0], (len(now[0][1]) - run + 1) // 2
+                todo += [[(item, w[: half + run - 1])], [(item, w[half:])]]
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """Pairs of a document and an item that share ``run`` consecutive words.
 
     Null texts, texts and items of fewer words, and null ids give no rows; extra columns are ignored; repeated
     documents or items give one row per pair. The item table is read in passes of bounded size, each searched in
-    all documents. Result: ``doc_id, item_id``.
+    all documents, whose words are found once: where there are several passes, they are written first. Result:
+    ``doc_id, item_id``.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    out = None
-    for part in item_passes(items, run):
-        sent = spark.sparkContext.broadcast(WuManber(part, run))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            search = sent.value
-            for batch in batches:
-                ids, hits = [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for item in search.find(words(text)):
-                        ids.append(doc)
-                        hits.append(item)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
-
-        found = docs.mapInArrow(scan, "doc_id long, item_id long")
-        out = found if out is None else out.unionByName(found)
+    out, split, first = None, words, None
+    for packed in search_tables(items, run, PATTERNS_PER_PASS):
+        if first is None:
+            first = packed  # held back until it is known whether there are more
+            continue
+        if out is None:
+            docs, split = cut_lineage(_worded(docs)), str.split
+            out = _searched(docs, first, split)
+        out = out.unionByName(_searched(docs, packed, split))
+    if out is None and first is not None:
+        out = _searched(docs, first, split)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long")
     return out.distinct()
 
 
+def _worded(docs: DataFrame) -> DataFrame:
+    """The documents' words, parted by blanks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(words(t)) for t in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
+
+
+def _searched(docs: DataFrame, packed: bytes, split: Callable[[str], list[str]]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = pickle.loads(sent.value)
+        for batch in batches:
+            ids, hits = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for item in search.find(split(text)):
+                    ids.append(doc)
+                    hits.append(item)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.int64())], names=["doc_id", "item_id"])
+
+    return docs.mapInArrow(scan, "doc_id long, item_id long")
+
+
 def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:
     """Documents per item and suite; items without a leak count 0."""
     n = leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))

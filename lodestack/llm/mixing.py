@@ -7,7 +7,6 @@ ancestors. Each leaf then takes whole seeded epochs of its documents and a token
 from __future__ import annotations
 
 import base64
-import os
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 
 from lodestack.runtime import cut_lineage
 
-TOKENIZER = os.environ.get("LODESTACK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the public pre-tokenisation pattern of that vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ranges of the epoch order; only the one range of a leaf where its budget ends is sorted.
@@ -54,7 +52,7 @@ def domain_name(source: str) -> str:
     return source.rpartition("-")[2] or source
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
     """``doc_id, source, lang, n_tokens`` of every document with an id, a source and a token."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,13 +113,14 @@ def full_total(weights: dict, caps: dict) -> float:
     return min(fits, default=0.0)
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix_sources(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: int | None = None, whole: bool = False, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
     ``targets``: ``source, target_share, max_repeats``; shares are taken relative to their sum, rows of null
     source or of no positive share are ignored, a null ``max_repeats`` is 1, repeated sources add up. Without
-    ``total_tokens`` the mix is as large as it can be while no source with documents misses its share; with it,
-    shortages are redistributed. Documents of other sources, without id, or without a token are not used;
+    ``total_tokens`` the mix is as large as it can be while no source with documents misses its share; with it, or
+    with ``whole`` (as many tokens as the sources' documents hold together), shortages are redistributed among siblings
+    and then among their ancestors' siblings. ``tokenizer`` is the path of a public vocabulary file. Documents of other sources, without id, or without a token are not used;
     repeated rows of a document count once. The mix: ``doc_id, source, lang, n_tokens, repeat_no`` (one row per
     use). The report: per target source ``target_share, actual_share, n_tokens, n_docs, max_uses``.
     """
@@ -137,14 +136,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     have = {(r[0], r[1]): r[2] for r in counted.groupBy("source", "lang").agg(F.sum("n_tokens")).limit(MAX_LEAVES + 1).collect()}
     if len(have) > MAX_LEAVES:
         raise ValueError("too many languages")
-    whole = sum(w for w, _ in goals.values()) or 1.0
+    weight = sum(w for w, _ in goals.values()) or 1.0
     by_source: dict[str, int] = defaultdict(int)
     for (s, _), n in have.items():
         by_source[s] += n
-    weights = {(domain_name(s), lang, s): goals[s][0] / whole * n / by_source[s] for (s, lang), n in have.items()}
-    weights |= {(domain_name(s), "und", s): w / whole for s, (w, _) in goals.items() if s not in by_source}
+    weights = {(domain_name(s), lang, s): goals[s][0] / weight * n / by_source[s] for (s, lang), n in have.items()}
+    weights |= {(domain_name(s), "und", s): w / weight for s, (w, _) in goals.items() if s not in by_source}
     caps = {(domain_name(s), lang, s): float(n * goals[s][1]) for (s, lang), n in have.items()}
-    total = full_total(weights, caps) if total_tokens is None else float(total_tokens)
+    total = float(sum(have.values())) if whole else full_total(weights, caps) if total_tokens is None else float(total_tokens)
     plan = []
     for (_, lang, s), amount in budgets(weights, caps, total).items():
         n = have.get((s, lang), 0)
@@ -170,7 +169,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     report = goal.join(F.broadcast(per_source), "source", "left").crossJoin(F.broadcast(all_tokens))
     report = report.select(
         "source",
-        (F.col("target_share") / F.lit(whole)).alias("target_share"),
+        (F.col("target_share") / F.lit(weight)).alias("target_share"),
         F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_tokens", "n_docs", "max_uses")),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from lodestack.llm.sql import SQL  # noqa: F401 - read by the entry module
 from lodestack.runtime import table
 
 
+#: Vocabulary file that the registered queries count tokens by; the operator takes any.
+TOKENIZER = os.environ.get("LODESTACK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [table(spark, sf_dir, n) for n in names]
 
@@ -21,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, chunks = _tables(spark, sf_dir, "pages", "chunks")
-    return split.split_items(split.wiki_items(pages, chunks)).distinct()
+    return split.split_items(split.unique_items(split.wiki_items(pages, chunks)))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +89,16 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(*_tables(spark, sf_dir, "documents", "mix_targets"))[0]
+    return mixing.mix_sources(*_tables(spark, sf_dir, "documents", "mix_targets"), TOKENIZER)[0]
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(*_tables(spark, sf_dir, "documents", "mix_targets"))[1]
+    return mixing.mix_sources(*_tables(spark, sf_dir, "documents", "mix_targets"), TOKENIZER)[1]
+
+
+def p9_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are: small sources reach their cap, and what they lack goes to their siblings first."""
+    return mixing.mix_sources(*_tables(spark, sf_dir, "documents", "mix_targets"), TOKENIZER, whole=True)[1]
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +117,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_redacted": p6_redacted,
     "p7_found": p7_found, "p7_clean": p7_clean,
     "p8_found": p8_found, "p8_report": p8_report,
-    "p9_mix": p9_mix, "p9_report": p9_report,
+    "p9_mix": p9_mix, "p9_report": p9_report, "p9_report_whole": p9_report_whole,
     "p10_found": p10_found, "p10_profile": p10_profile,
 }
 

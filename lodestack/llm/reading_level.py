@@ -1,8 +1,9 @@
 """Reading level of documents: interpolated n-gram models and isotonic regression.
 
-One interpolated trigram model per known level is trained on the labelled samples. A document's score is the
-middle of its distribution, over stretches of words, of surprisal under the easiest model minus surprisal under
-the hardest one. Isotonic regression (pool adjacent violators) maps scores monotonically to graded difficulty.
+One interpolated trigram model per known level is trained on the labelled samples. Of a document, the distribution of
+surprisal over stretches of words is taken under every level's model and described by its quantiles; what each level's
+quantiles say, by their means' softmax, is the document's expected level. Isotonic regression (pool adjacent violators)
+maps that score monotonically to graded difficulty.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lodestack.llm.words import words
 LEVELS = ("basic", "intermediate", "advanced")
 MIN_WORDS = 60
 STRETCH = 12
+#: Quantiles that describe a distribution of surprisal, and how many bits a word of difference count as e-fold odds.
+QUANTILES, BITS = (0.1, 0.25, 0.5, 0.75, 0.9), 0.5
 #: Weights of the trigram, bigram and unigram estimates and of the uniform one.
 WEIGHTS = (0.35, 0.35, 0.25, 0.05)
 #: Bound of the labelled rows that are fitted on.
@@ -110,12 +113,13 @@ class LevelModel:
         ids = grams.encode(t)
         if len(ids) < 3:
             return 0.0
-        easy, hard = grams.surprisal(ids, (0, self.n_levels - 1))
-        d = easy - hard
-        n = max(1, len(d) // self.stretch)
-        sums = np.add.reduceat(d, np.arange(n) * self.stretch)
-        counts = np.diff([*(np.arange(n) * self.stretch), len(d)])
-        return float(np.median(sums / counts))
+        bits = grams.surprisal(ids, range(self.n_levels))
+        n = max(1, bits.shape[1] // self.stretch)
+        starts = np.arange(n) * self.stretch
+        means = np.add.reduceat(bits, starts, axis=1) / np.diff([*starts, bits.shape[1]])
+        level = np.quantile(means, QUANTILES, axis=1).mean(axis=0)
+        odds = np.exp((level.min() - level) / BITS)
+        return float(odds @ np.arange(self.n_levels) / odds.sum())
 
     def difficulty(self, t: list[str]) -> float:
         return float(np.interp(self._score(self.grams, t), self.knots, self.values))
@@ -135,7 +139,7 @@ def reading_levels(documents: DataFrame, samples: DataFrame, levels: Sequence[st
     """Level of every English document of at least ``min_words`` words.
 
     Rows of null id, null or short text, or another or no language give no rows; extra columns are ignored;
-    repeated rows give one row. Result: ``doc_id, reading_level, difficulty`` (0 for the first level upwards).
+    repeated rows give one row, of texts that share an id the hardest one counts. Result: ``doc_id, reading_level, difficulty`` (0 for the first level upwards).
     """
     sent = documents.sparkSession.sparkContext.broadcast(fit_levels(samples, levels))
     names = list(levels)
@@ -154,7 +158,8 @@ def reading_levels(documents: DataFrame, samples: DataFrame, levels: Sequence[st
 
     english = F.lower(F.trim(F.col("lang"))).startswith("en") & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     docs = documents.where(english).select("doc_id", "text")
-    return docs.mapInArrow(grade, "doc_id long, reading_level string, difficulty double").dropDuplicates(["doc_id"])
+    graded = docs.mapInArrow(grade, "doc_id long, reading_level string, difficulty double")
+    return graded.groupBy("doc_id").agg(F.max(F.struct("difficulty", "reading_level")).alias("g")).select("doc_id", "g.reading_level", "g.difficulty")
 
 
 def level_profile(graded: DataFrame) -> DataFrame:

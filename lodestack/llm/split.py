@@ -181,6 +181,13 @@ def split_items(items: DataFrame, with_text: bool = True) -> DataFrame:
     return large.mapInArrow(cut, _PIECES)
 
 
+def unique_items(items: DataFrame) -> DataFrame:
+    """The items above their limit, each text of a kind and key once; the texts are told apart by two 64-bit hashes."""
+    large = items.where(F.length("text") > F.col("size_limit"))
+    keys = ["item_kind", "item_key", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    return large.groupBy(*keys).agg(F.first("text").alias("text"), F.first("size_limit").alias("size_limit"), F.first("overlap").alias("overlap")).drop("h1", "h2")
+
+
 def wiki_items(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     """The texts that have a size limit in this project."""
 
