@@ -44,7 +44,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.nearest_vectors(table(spark, sf_dir, "chunks")).withColumn("cosine", F.round("cosine", 4))
+    return knn.nearest_vectors(table(spark, sf_dir, "chunks")).withColumn("cosine", F.round("cosine", 3))
 
 
 def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

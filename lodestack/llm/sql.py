@@ -38,10 +38,27 @@ dr AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: arr
 ir AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS run FROM i WHERE len(w) >= 12)
 """
 
+P4_NEAREST = """
+WITH v AS (SELECT id, any_value(CAST(dense AS DOUBLE[])) AS v FROM chunks
+           WHERE id IS NOT NULL AND len(dense) = 384 AND list_sum(list_transform(dense, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)) > 0 GROUP BY id),
+s AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.id <> b.id)
+SELECT id, neighbour_id, round(c, 3) AS cosine, CAST(row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour_id) AS INT) AS rank FROM s QUALIFY rank <= 5"""
+
+P5_GROUPS = P5_FOUND.replace("WITH cur", "WITH RECURSIVE cur", 1).replace("\nSELECT a AS page_id_a", ",\npairs AS (SELECT a AS page_id_a", 1) + """),
+cls AS (SELECT page_id, md5(string_agg(run, '|' ORDER BY run)) AS c FROM s GROUP BY 1),
+links AS (SELECT x.c AS p, y.c AS q FROM pairs JOIN cls x ON x.page_id = page_id_a JOIN cls y ON y.page_id = page_id_b WHERE x.c <> y.c),
+both_ways AS (SELECT p, q FROM links UNION SELECT q, p FROM links),
+reach(c, r) AS (SELECT DISTINCT c, c FROM cls UNION SELECT reach.c, q FROM reach JOIN both_ways ON p = r),
+least AS (SELECT reach.c, min(page_id) AS group_id FROM reach JOIN cls ON cls.c = reach.r GROUP BY 1),
+degree AS (SELECT p AS c, count(DISTINCT q) AS n_links FROM both_ways GROUP BY 1)
+SELECT page_id AS key, group_id, coalesce(n_links, 0) AS n_links FROM cls JOIN least USING (c) LEFT JOIN degree USING (c)"""
+
 SQL = {
     "p1_found": P1_FOUND,
     "p4_found": P4_FOUND,
+    "p4_nearest": P4_NEAREST,
     "p5_found": P5_FOUND,
+    "p5_groups": P5_GROUPS,
     "p8_found": P8_FOUND + "SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)",
     "p8_report": P8_FOUND + ", l AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)) SELECT e.item_id, max(e.suite) AS suite, count(DISTINCT l.doc_id) AS n_docs FROM eval_items e LEFT JOIN l USING (item_id) WHERE e.item_id IS NOT NULL GROUP BY 1",
 }
