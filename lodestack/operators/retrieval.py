@@ -428,13 +428,21 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, limit: int = 20, use_mm
     Both sides are scans of the chunks' vectors; no vector is shuffled, but for those of candidates under diversity.
     """
     depth = limit * (3 if use_mmr else 2)
+    fused = fused_candidates(queries, chunks, depth, depth if use_mmr else limit, dim, rrf_k, rrf_base, ids_unique)
+    return mmr(fused, _vec(queries), _vec(chunks), limit, lam) if use_mmr else fused
+
+
+def _vec(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("dense").alias("vec"))
+
+
+def fused_candidates(queries: DataFrame, chunks: DataFrame, depth: int, limit: int, dim: int = 384, rrf_k: int = RRF_K, rrf_base: int = RRF_BASE, ids_unique: bool = False) -> DataFrame:
+    """The first ``limit`` of the fusion of a dense and a sparse list of ``depth`` hits per query."""
     from lodestack.operators.encoders import postings_of
 
-    vec = lambda df: df.select("id", F.col("dense").alias("vec"))
-    dense = dense_topk(vec(queries), vec(chunks), depth, dim)
+    dense = dense_topk(_vec(queries), _vec(chunks), depth, dim)
     qt = postings_of(queries).select(F.col("id").alias("query_id"), "term", F.col("weight").cast("double").alias("qw"))
     qt = qt if ids_unique else qt.distinct()
     weights = chunks.select("id", F.col("sparse.indices").alias("terms"), F.col("sparse.values").alias("weights"))
     sparse = sparse_topk(qt, weights.where((F.size("terms") == F.size("weights")) & ~F.exists("weights", lambda w: w.isNull())), depth)
-    fused = rrf_fuse([dense, sparse], rrf_k, rrf_base, depth if use_mmr else limit)
-    return mmr(fused, vec(queries), vec(chunks), limit, lam) if use_mmr else fused
+    return rrf_fuse([dense, sparse], rrf_k, rrf_base, limit)

@@ -179,6 +179,31 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("page_id", F.posexplode("blocks").alias("block_no", "b")).select("page_id", "block_no", "b.type", "b.text", fx.rows_text(F.col("b.rows")).alias("rows_text"))
 
 
+#: Pages and what they must give: fixed texts, so that the parser is checked against values and not against itself.
+_GOLDEN_PAGES = [
+    ("headings", "<h1>Top</h1><p>One <b>bold</b> word</p>", "Top\nOne bold word"),
+    ("nested", "<div>outer<p>inner</p></div>", "outer inner\ninner"),
+    ("table", "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td> 2 </td></tr></table>", "A | B\n1 | 2"),
+    ("list", "<ul><li>one</li><li>two</li></ul>", "one\ntwo"),
+    ("hidden", "<p>seen</p><script>var x = 1;</script><style>p {}</style>", "seen"),
+    ("entities", "<p>a &amp; b&nbsp;c</p>", "a & b\u00a0c"),
+    ("blank", "<p> </p><div></div>", ""),
+]
+_GOLDEN_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{t}')".replace("\n", "' || chr(10) || '") for k, _, t in _GOLDEN_PAGES) + ") g(page_id, text)"
+
+
+@query(_GOLDEN_SQL)
+def html_text_golden(spark: SparkSession, d: str) -> DataFrame:
+    pages = spark.createDataFrame([(k, h) for k, h, _ in _GOLDEN_PAGES], "page_id string, content_html string")
+    return parse_pages(pages).select("page_id", "text")
+
+
+@query("""SELECT * FROM (VALUES (0, 0, 'First part.'), (0, 1, 'Second part is longer.'), (1, 0, 'Third' || chr(10) || chr(10) || 'one')) g(parent_index, child_index, child_text)""")
+def hier_chunks_golden(spark: SparkSession, d: str) -> DataFrame:
+    text = spark.createDataFrame([("t", "First part.\n\nSecond part is longer.\n\nThird\n\none")], "page_id string, content_text string")
+    return chunk_texts(text, parent=36, child=24, parent_overlap=0, child_overlap=0).select("parent_index", "child_index", "child_text")
+
+
 @query()
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return parse_pages(table(spark, d, "pages")).select("page_id", "text", F.size("links").alias("n_links"))
@@ -329,7 +354,7 @@ def candidates_in_both(spark: SparkSession, d: str) -> DataFrame:
 
 _UNIQUE = "u AS (SELECT id, any_value(dense) AS dense, any_value(sparse) AS sparse, any_value(chunk) AS chunk, any_value(title) AS title, any_value(url) AS url FROM chunks WHERE id IS NOT NULL GROUP BY id)"
 _ASKING = "(('0x' || right(id, 8))::BIGINT % 100 = 0)"
-_HYBRID = f"""WITH {_UNIQUE},
+_HYBRID_AT = f"""WITH {_UNIQUE},
   v AS (SELECT id, CAST(dense AS DOUBLE[]) AS v FROM u WHERE len(dense) = 384),
   dn AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
     SELECT q.id AS query_id, v.id, CASE WHEN list_sum(list_transform(q.v, lambda x: x * x)) = 0 OR list_sum(list_transform(v.v, lambda x: x * x)) = 0 THEN 0 ELSE round(list_cosine_similarity(q.v, v.v), 9) END AS score
@@ -337,10 +362,11 @@ _HYBRID = f"""WITH {_UNIQUE},
   post AS (SELECT id, unnest(sparse.indices) AS term, CAST(unnest(sparse.values) AS DOUBLE) AS weight FROM u),
   sp AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
     SELECT q.id AS query_id, p.id, round(sum(q.weight * p.weight), 9) AS score FROM post q JOIN post p USING (term) WHERE q.weight <> 0 AND p.weight <> 0 AND {_ASKING.replace('id', 'q.id')} GROUP BY 1, 2)),
-  lists AS (SELECT query_id, id, rank FROM dn WHERE rank <= 40 UNION ALL SELECT query_id, id, rank FROM sp WHERE rank <= 40),
+  lists AS (SELECT query_id, id, rank FROM dn WHERE rank <= :depth UNION ALL SELECT query_id, id, rank FROM sp WHERE rank <= :depth),
   fused AS (SELECT query_id, id, round(sum(1.0 / (2 + rank - 1)), 9) AS score FROM lists GROUP BY 1, 2),
-  hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, id, score FROM fused QUALIFY rank <= 20)
+  hits AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank, id, score FROM fused QUALIFY rank <= :most)
 """
+_HYBRID = _HYBRID_AT.replace(":depth", "40").replace(":most", "20")
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -361,6 +387,13 @@ def hybrid_search_top20(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d).withColumn("score", F.round("score", 6))
 
 
+@query(_HYBRID_AT.replace(":depth", "60").replace(":most", "60") + "SELECT query_id, rank, id, round(score, 6) AS score FROM hits")
+def hybrid_mmr_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What diversity chooses from: three times the limit."""
+    points = _chunks(spark, d).select("id", "dense", "sparse")
+    return retrieval.fused_candidates(_asking(points), points, 60, 60).withColumn("score", F.round("score", 6))
+
+
 @query()
 def hybrid_search_mmr(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, use_mmr=True)
