@@ -508,7 +508,7 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
     across = small.join(other, "same").select("id", "far", "neighbour_id")
     best = Window.partitionBy("id").orderBy("far", "neighbour_id")
     both = within.unionByName(across).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return both.select("id", "neighbour_id", (-F.greatest("far", F.lit(-1.0))).alias("cosine"), "rank")
+    return both.select("id", "neighbour_id", F.round(-F.greatest("far", F.lit(-1.0)), 6).alias("cosine"), "rank")
 
 
 def neighbour_pairs(nearest: DataFrame) -> DataFrame:
