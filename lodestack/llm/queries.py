@@ -44,7 +44,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.nearest_vectors(table(spark, sf_dir, "chunks")).withColumn("cosine", F.round("cosine", 4))
+    """Ids and ranks; cosines are left out, as vectors of 16 bits a value leave their sixth digit open."""
+    return knn.nearest_vectors(table(spark, sf_dir, "chunks")).select("id", "neighbour_id", "rank")
 
 
 def _page_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

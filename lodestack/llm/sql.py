@@ -42,7 +42,7 @@ P4_NEAREST = """
 WITH v AS (SELECT id, any_value(CAST(dense AS DOUBLE[])) AS v FROM chunks
            WHERE id IS NOT NULL AND len(dense) = 384 AND list_sum(list_transform(dense, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)) > 0 GROUP BY id),
 s AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM v a JOIN v b ON a.id <> b.id)
-SELECT id, neighbour_id, round(c, 4) AS cosine, CAST(row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour_id) AS INT) AS rank FROM s QUALIFY rank <= 5"""
+SELECT id, neighbour_id, CAST(row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour_id) AS INT) AS rank FROM s QUALIFY rank <= 5"""
 
 P5_GROUPS = P5_FOUND.replace("WITH cur", "WITH RECURSIVE cur", 1).replace("\nSELECT a AS page_id_a", ",\npairs AS (SELECT a AS page_id_a", 1) + """),
 cls AS (SELECT page_id, md5(string_agg(run, '|' ORDER BY run)) AS c FROM s GROUP BY 1),
