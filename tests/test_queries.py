@@ -49,8 +49,10 @@ def test_diversity_chooses_from_its_candidates(spark, data):
 
 
 def test_hits_come_before_payloads(spark, data):
-    plan = entry.queries()["context_build"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
-    assert "chunk" in plan and "dense" not in plan
+    plan = entry.queries()["context_build"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan  # the few hits are sent to the chunks, and only what they pick is moved
+    reads = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert len(reads) == 1 and "chunk" in reads[0] and "dense" not in reads[0].partition("ReadSchema")[2]
 
 
 def test_entry(spark, data):
