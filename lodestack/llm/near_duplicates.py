@@ -6,9 +6,10 @@ prefix and demands more shared runs before a pair is verified. Runs fall into ``
 share ``GROUPS * (k - 1) + 1`` runs has a group in which it shares ``k``, so matches are counted inside the groups.
 Groups report pairs from ``k - 1`` matches on, and the reports of all groups bound a pair's shared runs from above.
 
-Where a group of a size band holds more than ``CELL_RUNS`` runs, it is split by run into cells, which report from
-fewer matches on, so that the bound holds. A posting is written once for each band it is compared in (two at a
-similarity of at least one half), however large the collection is. Only a run that more than ``TILE_RECORDS`` records
+Where a group of a size band holds more than ``CELL_RUNS`` runs, it is split by run into cells. A record's runs of the
+group are written whole to each cell that one of them falls into, and a pair is counted in the cell of its least shared
+run, so that a record is written at most once for each of its prefix runs and band (two bands at a similarity of at
+least one half), however large the collection is, and no match leaves its cell. Only a run that more than ``TILE_RECORDS`` records
 hold is cut further: its holders are compared in tiles of two blocks of them, for which the postings of these holders
 (no others) are written once per block, ``m / TILE_RECORDS`` times for a run of ``m`` holders.
 """
@@ -59,12 +60,14 @@ def extension(k: np.ndarray | int) -> np.ndarray | int:
     return GROUPS * (k - 1) + 1
 
 
-def reported(k: np.ndarray, splits: int) -> np.ndarray:
-    """Matches from which on a cell reports a pair, where each group is split into ``splits`` cells.
+def reported(k: np.ndarray) -> np.ndarray:
+    """Matches from which on a group reports a pair."""
+    return np.maximum(1, k - 1)
 
-    All that ``GROUPS * splits`` cells keep for themselves is then less than the matches a pair must have.
-    """
-    return np.maximum(1, k - 1) if splits == 1 else 1 + (k - 1) // splits
+
+def split_of(toks: np.ndarray, splits: int) -> np.ndarray:
+    """Cell of a run within its group, of ``splits`` (a power of two)."""
+    return ((toks.astype(np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> np.uint64(12)).astype(np.int64) & (splits - 1)
 
 
 def record_sets(records: DataFrame, key: str, title: str | None, text: str, width: int) -> DataFrame:
@@ -149,13 +152,15 @@ def _postings(sent, s: Fraction, costs: tuple[float, ...], tile_records: int):
                 hot = sketch[prefix & mask] > tile_records
                 # smaller partners are compared in their band
                 for b in range(band_of(n), max(-1, band_of(n) - reach - 1), -1):
-                    part = group | (((prefix >> 37) & (splits.get(b, 1) - 1)) << 4)
-                    by = np.argsort(part, kind="stable")
-                    starts = np.flatnonzero(np.concatenate([[True], part[by][1:] != part[by][:-1]]))
+                    by = np.argsort(group, kind="stable")
+                    starts = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))
+                    n_splits = splits.get(b, 1)
                     for at in np.split(by, starts[1:]):
-                        data = (prefix[at] & 0xFFFFFFFF).astype(np.uint32).tobytes() + place[at].tobytes()
-                        cell = b << 56 | int(part[at[0]]) << 28
-                        put(cell, 0, same, n << 8 | k, data)
+                        toks = (prefix[at] & 0xFFFFFFFF).astype(np.uint32)
+                        data = toks.tobytes() + place[at].tobytes()
+                        cell = b << 56 | int(group[at[0]]) << 28
+                        for part in np.unique(split_of(toks[~hot[at]], n_splits)).tolist() if n_splits > 1 else (0,):
+                            put(cell | part << 32, 0, same, n << 8 | k, data)
                         for h in prefix[at][hot[at]]:
                             blocks = tiles_of(int(sketch[h & mask]), tile_records)
                             mine = same % blocks
@@ -182,10 +187,10 @@ def _count_cell(table: pa.Table, s: Fraction, sent, tile_records: int) -> pa.Tab
     A pair that shares hot runs is counted in the tiles of the least of them, any other in the plain cell.
     """
     sketch, splits = sent.value
-    out = {"a": [], "b": [], "hits": [], "k": [], "low": [], "splits": []}
+    out = {"a": [], "b": [], "hits": [], "k": []}
     cell, tile_run = table.column("cell")[0].as_py(), table.column("hot")[0].as_py() - 1
     band, tile = cell >> 56, cell & (1 << 28) - 1
-    n_splits = splits.get(band, 1)
+    n_splits, part = splits.get(band, 1) if tile_run < 0 else 1, cell >> 32 & (1 << 24) - 1
     n_blocks = tiles_of(int(sketch[tile_run & len(sketch) - 1]), tile_records) if tile_run >= 0 else 1
     one, other = divmod(tile, n_blocks)
     same = table.column("same").to_numpy()
@@ -235,10 +240,20 @@ def _count_cell(table: pa.Table, s: Fraction, sent, tile_records: int) -> pa.Tab
         good = (place[i] < n[i] - o + e) & (place[j] < n[j] - o + e) & (doc[i] != doc[j])
         if one != other:  # pairs inside a block belong to the block's own tile
             good &= block[doc[i]] != block[doc[j]]
-        pair, hits = np.unique(doc[i][good] * len(same) + doc[j][good], return_counts=True)
+        pair = doc[i][good] * len(same) + doc[j][good]
+        if n_splits > 1:  # the cell of the least shared run counts the pair
+            run = tok[i][good]
+            by = np.lexsort((run, pair))
+            pair, run = pair[by], run[by]
+            at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
+            hits = np.diff([*at, len(pair)])
+            mine = split_of(run[at], n_splits) == part
+            pair, hits = pair[at][mine], hits[mine]
+        else:
+            pair, hits = np.unique(pair, return_counts=True)
         x, y = pair // len(same), pair % len(same)
         kk = np.minimum(k[x], k[y])
-        enough = hits >= reported(kk, n_splits)
+        enough = hits >= reported(kk)
         if some_hot:
             enough[enough] = [_least_common(hots[p], hots[q]) == tile_run for p, q in zip(x[enough], y[enough], strict=True)]
         x, y, kk, hits = x[enough], y[enough], kk[enough], hits[enough]
@@ -246,8 +261,6 @@ def _count_cell(table: pa.Table, s: Fraction, sent, tile_records: int) -> pa.Tab
         out["b"].append(np.maximum(same[x], same[y]))
         out["hits"].append(hits)
         out["k"].append(kk)
-        out["low"].append(reported(kk, n_splits) - 1)
-        out["splits"].append(np.full(len(kk), n_splits))
         a = z
     return pa.table({c: pa.array(np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64)) for c, v in out.items()})
 
@@ -262,10 +275,10 @@ def similar_classes(sets: DataFrame, similarity: Fraction) -> DataFrame:
     tile_records = TILE_RECORDS
     sent = spark.sparkContext.broadcast((frequency_sketch(sets, sum(runs_in.values())), splits))
     postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity, COSTS, tile_records), "cell long, hot long, same long, nk long, data binary")
-    counted = postings.groupBy("cell", "hot").applyInArrow(lambda t: _count_cell(t.combine_chunks(), similarity, sent, tile_records), "a long, b long, hits long, k long, low long, splits long")
-    sums = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.count("*").alias("cells"), F.max("k").alias("k"), F.max("low").alias("low"), F.max("splits").alias("splits"))
-    # what cells that did not report may hold counts as if they held it
-    pairs = sums.where(F.col("hits") + (GROUPS * F.col("splits") - F.col("cells")) * F.col("low") >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")
+    counted = postings.groupBy("cell", "hot").applyInArrow(lambda t: _count_cell(t.combine_chunks(), similarity, sent, tile_records), "a long, b long, hits long, k long")
+    sums = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.count("*").alias("groups"), F.max("k").alias("k"))
+    silent = F.greatest(F.lit(1), F.col("k") - 1) - 1  # most matches of a group that did not report
+    pairs = sums.where(F.col("hits") + (GROUPS - F.col("groups")) * silent >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")
     q = similarity / (1 + similarity)
     # one row per class, placed by class once for both joins
     runs = sets.groupBy("same").agg(F.first("runs").alias("runs"))
