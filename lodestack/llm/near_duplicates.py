@@ -12,6 +12,12 @@ run, so that a record is written at most once for each of its prefix runs and ba
 least one half), however large the collection is, and no match leaves its cell. Only a run that more than ``TILE_RECORDS`` records
 hold is cut further: its holders are compared in tiles of two blocks of them, for which the postings of these holders
 (no others) are written once per block, ``m / TILE_RECORDS`` times for a run of ``m`` holders.
+
+Where the vocabulary of runs does not grow with the collection, a record meets a fixed share of all others in its
+prefix, and matches cost more than comparing every two records. Such size bands, found by the estimated matches of a
+sample, are compared directly: a record is a parity bitmap of its runs, whose differing bits bound the runs that two
+records do not share from below, so no similar pair is lost. The work is the square of a band's records, at a few words
+a pair.
 """
 
 from __future__ import annotations
@@ -43,6 +49,12 @@ COSTS = (2.0, 200.0, 10_000.0)
 CELL_RUNS = 2_000_000
 #: Records of one run that one task compares; a run of more is compared in tiles of two blocks of its records.
 TILE_RECORDS = 100_000
+#: Words of bitmaps that are compared in the time of one match of the prefixes, about.
+WORDS_A_MATCH = 40
+#: Records of a band whose matches are estimated.
+ESTIMATED = 2_000
+#: Records that a task compares with each other by bitmaps; a band of more is compared in tiles of two blocks of them.
+BLOCK_RECORDS = 100_000
 #: Exact copies up to this number are written out as pairs; more copies are linked to their least id.
 COPIES = 64
 #: Pairs that a group counts at a time.
@@ -126,7 +138,7 @@ def _place_type(n: int) -> type:
     return np.uint16 if n < 1 << 16 else np.int32
 
 
-def _postings(sent, s: Fraction, costs: tuple[float, ...], tile_records: int):
+def _postings(sent, s: Fraction, costs: tuple[float, ...], tile_records: int, left_out: frozenset[int] = frozenset()):
     reach = band_of(-(-s.denominator // s.numerator) * 2 - 1)  # bands between a set and its smallest partner
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +157,16 @@ def _postings(sent, s: Fraction, costs: tuple[float, ...], tile_records: int):
                     continue
                 seen.add(same)
                 r = runs.values.to_numpy()
-                prefix, k = prefix_of(r, sketch, s, costs)
                 n = len(r)
+                bands = [b for b in range(band_of(n), max(-1, band_of(n) - reach - 1), -1) if b not in left_out]
+                if not bands:
+                    continue
+                prefix, k = prefix_of(r, sketch, s, costs)
                 place = np.arange(len(prefix), dtype=_place_type(n))
                 group = (prefix >> 33) & (GROUPS - 1)
                 hot = sketch[prefix & mask] > tile_records
                 # smaller partners are compared in their band
-                for b in range(band_of(n), max(-1, band_of(n) - reach - 1), -1):
+                for b in bands:
                     by = np.argsort(group, kind="stable")
                     starts = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))
                     n_splits = splits.get(b, 1)
@@ -177,6 +192,133 @@ def tiles_of(records: int, tile_records: int) -> int:
     return -(-records // tile_records)
 
 
+def bitmap_words(band: int) -> int:
+    """Words of the bitmaps of a band: eight bits for each run of its least set."""
+    return max(4, (8 << band) // 64)
+
+
+def bitmap_of(runs: np.ndarray, words_: int) -> np.ndarray:
+    """Of every bit the parity of the runs that fall on it."""
+    bits = ((runs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (64 * words_)
+    return np.packbits((np.bincount(bits, minlength=64 * words_) & 1).astype(np.uint8)).view(np.uint64)
+
+
+def _bitmaps(bands: dict[int, int], s: Fraction):
+    """Bitmaps of every set for the bands in which it is compared; ``bands``: blocks of each."""
+    reach = band_of(-(-s.denominator // s.numerator) * 2 - 1)
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            cells, sames, sizes, data = [], [], [], []
+            for same, runs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if same in seen:
+                    continue
+                seen.add(same)
+                r = runs.values.to_numpy()
+                for b in range(band_of(len(r)), max(-1, band_of(len(r)) - reach - 1), -1):
+                    if b in bands:
+                        bits, mine = bitmap_of(r, bitmap_words(b)).tobytes(), same % bands[b]
+                        for other in range(bands[b]):
+                            cells.append(b << 48 | min(mine, other) << 24 | max(mine, other))
+                            sames.append(same)
+                            sizes.append(len(r))
+                            data.append(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(sames, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["cell", "same", "n", "bits"])
+
+    return maps
+
+
+def _compare(one: tuple, other: tuple, band: int, s: Fraction, ties: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a set of ``one`` in the band and a set of ``other`` of its size or more that may be similar.
+
+    Both are sorted by size; ``ties``: whether sets of equal size are paired. The same object twice pairs each two once.
+    """
+    (same, n, bits), (same_y, m, bits_y) = one, other
+    found: list[tuple[np.ndarray, np.ndarray]] = [(same[:0], same[:0])]
+    step, wide, n_words = 32, 2048, len(bits)
+    mixed, count, few, sums = (np.empty((step, wide), t) for t in (np.uint64, np.uint8, np.uint8, np.uint16))
+    for a in range(int(np.searchsorted(n, 1 << band)), int(np.searchsorted(n, 1 << (band + 1))), step):
+        z = min(a + step, int(np.searchsorted(n, 1 << (band + 1))))
+        lo = a + 1 if one is other else int(np.searchsorted(m, n[a], "left" if ties else "right"))
+        hi = int(np.searchsorted(m, n[z - 1] * s.denominator // s.numerator, "right"))
+        for c in range(lo, hi, wide):
+            e = min(c + wide, hi)
+            total = n[z - 1] + m[e - 1]
+            most = int(total - 2 * need(n[z - 1], m[e - 1], s)) + 1  # runs that a similar pair does not share, at most
+            unlike = 32 * n_words * -np.expm1(-2 * float(total) / (64 * n_words))  # bits that differ between unlike sets
+            w = min(n_words, int(n_words * 1.15 * most / unlike) + 1)
+            x, y, three, apart = (v[: z - a, : e - c] for v in (mixed, count, few, sums))
+            apart[:] = 0
+            for k in range(w):
+                np.bitwise_xor(bits[k, a:z, None], bits_y[k, None, c:e], out=x)
+                np.bitwise_count(x, out=y if k % 3 else three)
+                if k % 3:
+                    np.add(three, y, out=three)  # the counts of three words fit into a byte
+                if k % 3 == 2 or k + 1 == w:
+                    np.add(apart, three, out=apart)
+            i, j = np.nonzero(apart <= most)
+            apart = apart[i, j].astype(np.int64)
+            i, j = i + a, j + c
+            most = n[i] + m[j] - 2 * need(n[i], m[j], s)
+            for k in range(w, n_words):
+                if not len(i):
+                    break
+                apart += np.bitwise_count(bits[k, i] ^ bits_y[k, j])
+                good = apart <= most
+                i, j, apart, most = i[good], j[good], apart[good], most[good]
+            good = apart <= most
+            i, j = i[good], j[good]
+            good = (m[j] * s.numerator <= n[i] * s.denominator) & ((j > i) if one is other else (m[j] >= n[i]) if ties else (m[j] > n[i]))
+            found.append((same[i[good]], same_y[j[good]]))
+    x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _compare_cell(table: pa.Table, bands: dict[int, int], s: Fraction) -> pa.Table:
+    """Pairs of a tile whose bitmaps leave it open that they are similar."""
+    cell = table.column("cell")[0].as_py()
+    band, first, second = cell >> 48, cell >> 24 & (1 << 24) - 1, cell & (1 << 24) - 1
+    same = table.column("same").to_numpy()
+    _, at = np.unique(same, return_index=True)  # a class may come from several tasks
+    at = at[np.argsort(table.column("n").to_numpy()[at], kind="stable")]
+    same, n = same[at], table.column("n").to_numpy()[at]
+    bits = np.ascontiguousarray(np.frombuffer(b"".join(table.column("bits").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1).T)
+    if first == second:
+        all_ = same, n, bits
+        pairs = [_compare(all_, all_, band, s, True)]
+    else:
+        x, y = ((same[k], n[k], np.ascontiguousarray(bits[:, k])) for k in (same % bands[band] == first, same % bands[band] == second))
+        pairs = [_compare(x, y, band, s, True), _compare(y, x, band, s, False)]
+    a, b = (np.concatenate(v) for v in zip(*pairs, strict=True))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def crowded_bands(sets: DataFrame, sent, s: Fraction, records_in: dict[int, int]) -> dict[int, int]:
+    """Bands in which bitmaps cost less than the estimated matches of the prefixes, with the blocks of their records."""
+    share = {b: min(1.0, ESTIMATED / n) for b, n in records_in.items()}
+    reach = band_of(-(-s.denominator // s.numerator) * 2 - 1)
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = sent.value[0]
+        sums: dict[int, int] = {}
+        for batch in batches:
+            for same, runs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if same % 1_000_003 < share[b := band_of(len(runs))] * 1_000_003:
+                    prefix, _ = prefix_of(runs.values.to_numpy(), sketch, s)
+                    sums[b] = sums.get(b, 0) + int(sketch[prefix & (len(sketch) - 1)].astype(np.int64).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["band", "n"])
+
+    found = sets.select("same", "runs").mapInArrow(estimate, "band int, n long").groupBy("band").agg(F.sum("n").alias("n")).collect()
+    matches = {r.band: r.n / share[r.band] for r in found}
+    out = {}
+    for b, own in records_in.items():
+        near = sum(records_in.get(c, 0) for c in range(b, b + reach + 1))
+        if matches.get(b, 0) * WORDS_A_MATCH > own * near * bitmap_words(b):
+            out[b] = -(-near // BLOCK_RECORDS)
+    return out
+
+
 def _least_common(a: frozenset, b: frozenset) -> int:
     return min(a & b, default=-1)
 
@@ -268,17 +410,23 @@ def _count_cell(table: pa.Table, s: Fraction, sent, tile_records: int) -> pa.Tab
 def similar_classes(sets: DataFrame, similarity: Fraction) -> DataFrame:
     """Pairs ``a < b`` of different sets (by hash) of at least the similarity; ``sets`` is read several times."""
     spark = sets.sparkSession
-    bands = sets.groupBy(F.floor(F.log2(F.size("runs"))).cast("int").alias("band")).agg(F.sum(F.size("runs")).alias("n")).collect()  # a few dozen
+    bands = sets.groupBy(F.floor(F.log2(F.size("runs"))).cast("int").alias("band")).agg(F.sum(F.size("runs")).alias("n"), F.count("*").alias("records")).collect()  # a few dozen
     runs_in = {r.band: r.n for r in bands}
     most = GROUPS * CELL_RUNS
     splits = {b: 1 << max(0, (-(-(runs_in.get(b, 0) + runs_in.get(b + 1, 0)) // most) - 1).bit_length()) for b in range(max(runs_in, default=0) + 1)}
     tile_records = TILE_RECORDS
     sent = spark.sparkContext.broadcast((frequency_sketch(sets, sum(runs_in.values())), splits))
-    postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity, COSTS, tile_records), "cell long, hot long, same long, nk long, data binary")
+    crowded = crowded_bands(sets, sent, similarity, {r.band: r.records for r in bands})
+    postings = sets.select("same", "runs").mapInArrow(_postings(sent, similarity, COSTS, tile_records, frozenset(crowded)), "cell long, hot long, same long, nk long, data binary")
     counted = postings.groupBy("cell", "hot").applyInArrow(lambda t: _count_cell(t.combine_chunks(), similarity, sent, tile_records), "a long, b long, hits long, k long")
     sums = counted.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.count("*").alias("groups"), F.max("k").alias("k"))
     silent = F.greatest(F.lit(1), F.col("k") - 1) - 1  # most matches of a group that did not report
     pairs = sums.where(F.col("hits") + (GROUPS - F.col("groups")) * silent >= GROUPS * (F.col("k") - 1) + 1).select("a", "b")
+    if crowded:
+        maps = sets.select("same", "runs").mapInArrow(_bitmaps(crowded, similarity), "cell long, same long, n long, bits binary")
+        tiles = sum(n * (n + 1) // 2 for n in crowded.values())
+        maps = maps.repartition(4 * tiles, "cell")  # tiles take long for their bytes, so few should share a task
+        pairs = pairs.unionByName(maps.groupBy("cell").applyInArrow(lambda t: _compare_cell(t.combine_chunks(), crowded, similarity), "a long, b long"))
     q = similarity / (1 + similarity)
     # one row per class, placed by class once for both joins
     runs = sets.groupBy("same").agg(F.first("runs").alias("runs"))

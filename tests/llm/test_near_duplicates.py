@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import tuples
 from lodestack.llm import near_duplicates as nd
@@ -83,6 +84,26 @@ def test_postings_of_a_record_do_not_grow_with_the_collection():
     assert many[1] <= most[1] <= few[0] and most[0] <= 8 * few[0]
 
 
+@pytest.mark.parametrize("s,block_records", [(Fraction(1, 2), 10**9), (Fraction(1, 2), 40), (Fraction(1, 3), 40), (Fraction(4, 5), 40)])
+def test_crowded_bands_by_bitmaps(spark, monkeypatch, s, block_records):
+    monkeypatch.setattr(nd, "WORDS_A_MATCH", 10**12)  # every band in which runs meet
+    monkeypatch.setattr(nd, "BLOCK_RECORDS", block_records)
+    rows = corpus(150, 5)
+    df = spark.createDataFrame(rows, "key string, body string").repartition(3)
+    assert set(tuples(nd.pairs_of(*nd.near_duplicates(df, "key", None, "body", 3, s)))) == brute(rows, 3, s)
+
+
+def test_only_bands_of_a_small_vocabulary_are_crowded(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for most, crowded in ((600, {6: 1}), (2**60, {})):
+        sets = spark.createDataFrame([(i, np.unique(r.integers(0, most, 100)).tolist()) for i in range(400)], "same long, runs array<long>")
+        n = {b.band: b.n for b in sets.groupBy(F.floor(F.log2(F.size("runs"))).cast("int").alias("band")).agg(F.count("*").alias("n")).collect()}
+        sent = spark.sparkContext.broadcast((nd.frequency_sketch(sets), {}))
+        assert nd.crowded_bands(sets, sent, Fraction(1, 2), n) == crowded
+
+
 def test_copies_of_a_third_and_groups(spark):
     base = "one two three four five six seven eight nine ten"
     rows = [(f"c{i:03d}", base) for i in range(90)] + [("d1", base + " eleven"), ("x", "quite another text with other words in it"), ("e", None), ("f", " "), ("g", "a b"), (None, base)]
