@@ -31,9 +31,10 @@ PART_ROWS = 5_000
 MAX_BRANCH = 128
 #: Bytes of the last level's classifiers up to which they are broadcast.
 ROUTER_BYTES = 64 * 1024 * 1024
-#: Share of the probability at which one node is enough on the way down.
-NODE_COVER = 0.9
-#: Parts a vector goes to: at least and at most, and the probability they should cover.
+#: Nodes that a vector follows down the tree: where every task has the last level, and where its nodes are met by a shuffle.
+NODE_BEAM, FAR_BEAM = 4, 3
+#: Parts a vector goes to under one classifier: at least and at most, and the probability they should cover. In a tree it
+#: goes to the most for every level, as either level parts neighbours.
 MIN_PROBES, MAX_PROBES, COVER = 2, 3, 0.6
 #: Index rows that one task searches at a time; larger parts are searched in blocks of this size, and their queries in
 #: blocks of four times as many.
@@ -205,22 +206,32 @@ class Tree:
         self.levels: list[dict[int, Router]] = []
         self.rows: list[dict[int, float]] = [{0: 1.0}]  # share of all rows that visit a node
 
-    def down(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes below all levels present but one place to stop: rows, nodes, whether first choice, whether only choice."""
-        at, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        first, alone = np.ones(len(x), bool), np.ones(len(x), bool)
+    def down(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The most probable nodes below all levels present: rows, nodes, probabilities."""
+        at, node, p = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x))
         for level in self.levels:
-            parts = []
-            for n, rows in _grouped(node):
-                router = level[n]
-                top, p = best_parts(router.probabilities(x[at[rows]]), 2)
-                # of a second choice only the best child is followed, of a first and only one both unless one is enough
-                two = (first[rows] & alone[rows] & (p[:, 0] < NODE_COVER)) if top.shape[1] > 1 else np.zeros(len(rows), bool)
-                parts.append((at[rows], n * self.stride + top[:, 0], first[rows], alone[rows] & ~two))
-                if two.any():
-                    parts.append((at[rows][two], n * self.stride + top[two, 1], np.zeros(two.sum(), bool), np.zeros(two.sum(), bool)))
-            at, node, first, alone = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return at, node, first, alone
+            at, node, p = most_probable(*self.below(level, x, at, node, p, beam), beam, beam, 1.0)
+        return at, node, p
+
+    def below(self, routers: dict[int, Router], x: np.ndarray, at: np.ndarray, node: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` most probable children of every row's nodes: rows, children, probabilities."""
+        parts = []
+        for n, rows in _grouped(node):
+            top, q = best_parts(routers[n].probabilities(x[at[rows]]), k)
+            parts.append((np.repeat(at[rows], top.shape[1]), (n * self.stride + top).ravel(), (p[rows, None] * q).ravel()))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def most_probable(at: np.ndarray, node: np.ndarray, p: np.ndarray, least: int, most: int, cover: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row the most probable nodes: ``least`` of them, and up to ``most`` until they cover enough."""
+    order = np.lexsort((node, -p, at))
+    at, node, p = at[order], node[order], p[order]
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    first = np.repeat(starts, np.diff([*starts, len(at)]))
+    rank = np.arange(len(at)) - first
+    before = np.cumsum(p) - p
+    keep = (rank < least) | (rank < most) & (before - before[first] < cover)
+    return at[keep], node[keep], p[keep]
 
 
 def _grouped(node: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -230,16 +241,9 @@ def _grouped(node: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(node[rows[0]]), rows
 
 
-def leaves_of(router: Router, x: np.ndarray, first: np.ndarray, alone: np.ndarray, probes: int, cover: float) -> tuple[np.ndarray, np.ndarray]:
-    """Parts of the last level to be visited: (rows, parts). In its first node a row visits two parts, three where it is
-    the only node and two do not cover enough; in its second node one."""
-    top, p = best_parts(router.probabilities(x), probes)
-    before = np.cumsum(p, axis=1) - p
-    visit = (before < cover) & alone[:, None]
-    visit[:, :MIN_PROBES] = first[:, None]
-    visit[:, 0] = True
-    r, c = np.nonzero(visit)
-    return r, top[r, c]
+def probes_of(levels: int, probes: int) -> tuple[int, int]:
+    """Parts that a vector visits below so many classifiers, at least and at most."""
+    return (min(MIN_PROBES, probes), probes) if levels == 1 else (probes * levels, probes * levels)
 
 
 def _pack(x: np.ndarray) -> tuple[np.ndarray, pa.Array]:
@@ -337,7 +341,7 @@ def _models(rows: DataFrame, n: int, tree: Tree, dim: int, max_sample: int, part
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, node, _, _ = sent.value.down(unit_rows(_vectors(batch.column(1))))
+                at, node, _ = sent.value.down(unit_rows(_vectors(batch.column(1))), MIN_PROBES)
                 yield pa.RecordBatch.from_arrays([pa.array(node), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))], names=["node", "same", "vec"])
 
     def fit(group: pa.Table) -> pa.Table:
@@ -349,7 +353,9 @@ def _models(rows: DataFrame, n: int, tree: Tree, dim: int, max_sample: int, part
         # a node's parts follow its share of the rows
         router = fit_router(x, int(max(1, min(tree.stride - 1, np.ceil(branch * share * len(nodes) / visits)))))
         top, _ = best_parts(router.probabilities(x), MIN_PROBES)
-        load = np.bincount(top.ravel(), minlength=len(router.b)) / max(1, len(x)) * share * (n if last else 1)
+        load = np.bincount(top.ravel(), minlength=len(router.b)) / max(1, len(x)) * share
+        if last:  # the visits of a search, not of this sample
+            load *= n * probes_of(levels, MAX_PROBES)[1] / (MIN_PROBES * visits)
         w, b = router.packed()
         return pa.table({"node": pa.array([node], pa.int64()), "w": pa.array([w], pa.binary()), "b": pa.array([b], pa.binary()), "loads": pa.array([load.tolist()], pa.list_(pa.float64()))})
 
@@ -405,14 +411,14 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
     tree, last, blocks = fit_tree(rows, n, dim, max_sample, part_rows)
     schema = "part long, block int, own boolean, ask boolean, same long, vec binary"
 
-    def routed_batch(router: Router, node: int, x: np.ndarray, h: np.ndarray, first: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, ...]:
-        r, part = leaves_of(router, x, first, alone, probes, cover)
-        leaf = node * tree.stride + part
-        at, tile, own, ask = _tiles(h[r], leaf, blocks)
-        return r[at], leaf[at], tile, own, ask
+    least, most = probes_of(len(tree.levels) + 1, probes)
 
-    def emit(parts: list[tuple[np.ndarray, ...]], h: np.ndarray, packed: pa.Array) -> pa.RecordBatch:
-        at, leaf, tile, own, ask = (np.concatenate(c) for c in zip(*parts, strict=True))
+    def tiled(at: np.ndarray, leaf: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        row, tile, own, ask = _tiles(h[at], leaf, blocks)
+        return at[row], leaf[row], tile, own, ask
+
+    def emit(at: np.ndarray, leaf: np.ndarray, h: np.ndarray, packed: pa.Array) -> pa.RecordBatch:
+        at, leaf, tile, own, ask = tiled(at, leaf, h)
         at = pa.array(at)
         return pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int64)), pa.array(tile.astype(np.int32)), pa.array(own), pa.array(ask), pa.array(h).take(at), packed.take(at)], names=["part", "block", "own", "ask", "same", "vec"])
 
@@ -433,18 +439,15 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
                     continue
                 q, packed = _pack(_vectors(batch.column(1).take(take)))
                 h, x = batch.column(0).take(take).to_numpy(), unit_rows(q.astype(np.float32))
-                at, node, first, alone = upper.down(x)
-                parts = []
-                for m, k in _grouped(node):
-                    r, *more = routed_batch(routers[m], m, x[at[k]], h[at[k]], first[k], alone[k])
-                    parts.append((at[k][r], *more))
-                yield emit(parts, h, packed)
+                found = upper.below(routers, x, *upper.down(x, NODE_BEAM), most)
+                at, leaf, _ = most_probable(*found, least, most, cover)
+                yield emit(at, leaf, h, packed)
 
         routed = distinct.mapInArrow(route, schema)
     else:
         sent = spark.sparkContext.broadcast(tree)
         left_out = pa.table({"part": pa.array([], pa.int64()), "block": pa.array([], pa.int32()), "own": pa.array([], pa.bool_()), "ask": pa.array([], pa.bool_()), "same": pa.array([], pa.int64()), "vec": pa.array([], pa.binary())})
-        salts = max(1, -(-2 * n // (len(tree.rows[-1]) * ROUTED_ROWS)))
+        salts = max(1, -(-FAR_BEAM * n // (len(tree.rows[-1]) * ROUTED_ROWS)))
 
         def to_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -454,9 +457,9 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
                     continue
                 q, packed = _pack(_vectors(batch.column(1).take(take)))
                 h = batch.column(0).take(take).to_numpy()
-                at, node, first, alone = sent.value.down(unit_rows(q.astype(np.float32)))
+                at, node, _ = sent.value.down(unit_rows(q.astype(np.float32)), FAR_BEAM)
                 rows_at = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array((h[at] >> 30) % salts), pa.array(first), pa.array(alone), pa.array(h).take(rows_at), packed.take(rows_at)], names=["node", "salt", "first", "alone", "same", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array((h[at] >> 30) % salts), pa.array(h).take(rows_at), packed.take(rows_at)], names=["node", "salt", "same", "vec"])
 
         def in_node(_, left: pa.Table, right: pa.Table) -> pa.Table:
             if not left.num_rows:
@@ -465,10 +468,11 @@ def nearest_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "dens
             h, packed = left.column("same").to_numpy(), left.column("vec").chunk(0)
             # a node without a sample is one part
             router = Router.unpacked(right.column("w")[0].as_py(), right.column("b")[0].as_py()) if right.num_rows else whole_part(dim)
-            flags = (left.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("first", "alone"))
-            return pa.Table.from_batches([emit([routed_batch(router, left.column("node")[0].as_py(), _unpack(packed, dim), h, *flags)], h, packed)])
+            at, node = np.arange(len(h)), np.full(len(h), left.column("node")[0].as_py())
+            at, leaf, _ = tree.below({int(node[0]): router}, _unpack(packed, dim), at, node, np.ones(len(h)), -(-most // FAR_BEAM))
+            return pa.Table.from_batches([emit(at, leaf, h, packed)])
 
-        placed = distinct.mapInArrow(to_nodes, "node long, salt long, first boolean, alone boolean, same long, vec binary")
+        placed = distinct.mapInArrow(to_nodes, "node long, salt long, same long, vec binary")
         models = _models(rows, n, tree, dim, max_sample, part_rows).select("node", "w", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
         routed = placed.groupBy("node", "salt").cogroup(models.groupBy("node", "salt")).applyInArrow(in_node, schema)
     n_leaves = max(1, round(n / part_rows))

@@ -48,6 +48,29 @@ def test_tree_of_routers(spark, monkeypatch):
         assert len(mine) == len(x) and hit / want.size >= 0.85, (branch, room, hit / want.size)
 
 
+def test_a_tree_keeps_neighbours_together():
+    rng = np.random.default_rng(4)
+
+    def group_members(groups):
+        c = np.repeat(rng.normal(size=(groups, 64)), 2, axis=0)
+        return knn.unit_rows((c + 0.45 * rng.normal(size=c.shape)).astype(np.float32))
+
+    tree = knn.Tree(24)
+    fit = group_members(3000)
+    root = knn.fit_router(fit, 10)
+    first = root.probabilities(fit).argmax(axis=1)
+    tree.levels.append({0: root})
+    last = {n: knn.fit_router(fit[first == n], 10) for n in range(len(root.b))}
+    x = group_members(500)  # not among those fitted
+    least, most = knn.probes_of(2, knn.MAX_PROBES)
+    at, leaf, _ = knn.most_probable(*tree.below(last, x, *tree.down(x, knn.NODE_BEAM), most), least, most, knn.COVER)
+    seen = [set() for _ in x]
+    for i, part in zip(at.tolist(), leaf.tolist()):
+        seen[i].add(part)
+    assert max(map(len, seen)) <= most and len({p for v in seen for p in v}) > 80
+    assert np.mean([bool(seen[i] & seen[i + 1]) for i in range(0, len(x), 2)]) >= 0.95
+
+
 def test_parts_grow_with_the_collection_and_are_balanced():
     for n in (10**5, 4 * 10**7, 10**11):
         levels, branch = knn.shape_of(n, 5_000)
